@@ -189,13 +189,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 
 
-def _predict(model):
+def _predict(model, at_text: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network | None = model.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [t or "" for t in batch.column(0).to_pylist()]
+                texts = [t or "" for t in batch.column(at_text).to_pylist()]
                 known = [i for i, t in enumerate(texts) if net and _LETTER.search(t)]
                 pred, score, positions = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
                 if known:
@@ -205,8 +205,8 @@ def _predict(model):
                         pred[i], score[i] = net.languages[k], float(min(1.0, p[k]))
                         positions[i] = [(y, int(v)) for y, v in zip(net.languages, n, strict=True) if v]
                 cols = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(positions, pa.map_(pa.string(), pa.int64()))]
-                own = [batch.column(k) for k in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*own, *cols], names=[*batch.schema.names[1:], "lang_pred", "score", "positions"])
+                own = [batch.column(k) for k in range(keep)]
+                yield pa.RecordBatch.from_arrays([*own, *cols], names=[*batch.schema.names[:keep], "lang_pred", "score", "positions"])
 
     return run
 
@@ -220,6 +220,7 @@ def identify(docs: DataFrame, model: Network | None, text_col: str = "text", kee
     table gives none. Columns not in ``keep`` are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).cast("string").alias("text__"), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{fields}, lang_pred string, score double, positions map<string, bigint>")
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).cast("string"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    place = keep.index(text_col) if text_col in keep else len(keep)
+    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), place, len(keep)), f"{fields}, lang_pred string, score double, positions map<string, bigint>")

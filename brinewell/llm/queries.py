@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from brinewell.llm import chat, warc
 from brinewell.llm.curriculum import curriculum
 from brinewell.llm.decontaminate import benchmark_matches
+from brinewell.llm.html_text import extract
 from brinewell.llm.language_id import fit, held_out, identify
+from brinewell.llm.licenses import scan_licenses
 from brinewell.llm.near_dedup import near_duplicates
 from brinewell.llm.pii import KINDS, personal_data, span_list
 from brinewell.llm.quality import quality_rules
@@ -56,6 +58,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` have no paths: a document lies in source/<doc_id / 100>, and one of under 400 code points that says "licen" is its licence file."""
+    docs = _table(spark, sf_dir, "documents")
+    name = F.when((F.length("text") < 400) & F.contains(F.lower("text"), F.lit("licen")), "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 100).cast("string"), name)
+    found = scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
+    return found.select(F.col("id").alias("doc_id"), "license", "cosine", "origin", "license_dir")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))
@@ -66,6 +77,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80).withColumnRenamed("id", "doc_id")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
@@ -73,7 +88,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_quality_rules, op2_pii, op3_curriculum, op4_decontaminate, op5_chat_format, op7_language_id, op8_near_dedup, op10_warc)
+    own = (op1_quality_rules, op2_pii, op3_curriculum, op4_decontaminate, op5_chat_format, op6_license_scan, op7_language_id, op8_near_dedup, op9_html_text, op10_warc)
     return {f.__name__: f for f in own}
 
 

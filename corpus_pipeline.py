@@ -1,28 +1,73 @@
-"""The corpus pipeline: stages that each apply one operator to what the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to what the stage before kept.
+
+Rows are told apart by document id, a row without one by its text; rows that
+agree in that are one document from the near-duplicate stage on. The SQL of the
+whole is None: language identification is a trained network.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinewell.llm.curriculum import curriculum, training_order
+from brinewell.llm.decontaminate import benchmark_matches
+from brinewell.llm.language_id import UNDETERMINED, fit, identify
 from brinewell.llm.near_dedup import near_duplicates
-from brinewell.plans.lineage import cut
+from brinewell.llm.pii import mask, personal_data
+from brinewell.plans.lineage import cut, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Pooled probability below which a document's language counts as unknown.
+MIN_SCORE = 0.3
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no language that the model is sure of, go."""
+    read = identify(docs, fit(docs), keep=COLUMNS)
+    return read.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    keyed = docs.withColumn("key", _key())
+    gone = near_duplicates(keyed, "key").where(~F.col("kept")).select(F.col("id").alias("key")).distinct()
+    return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of the benchmark go."""
+    keyed = docs.withColumn("key", _key())
+    found = benchmark_matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key")
+    gone = cut(found.where(F.size("hits") > 0).select(F.col("id").alias("key")), "contaminated")
+    return keyed.join(small(gone), "key", "left_anti").select(*COLUMNS)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind."""
+    keyed = docs.withColumn("key", _key())
+    spans = cut(personal_data(keyed, "key").where(F.size("spans") > 0).select(F.col("id").alias("key"), "spans"), "spans")
+    masked = keyed.join(small(spans), "key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("spans"))))
+    return masked.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, range-sorted by training position; with copy and position."""
+    keyed = docs.withColumn("key", _key())
+    return training_order(keyed, curriculum(keyed, "key"), "key").select(*COLUMNS, "copy", "position")
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("mix", mix)]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
