@@ -8,14 +8,16 @@ under t(n) seeds, which leaves its Jaccard similarities unchanged; t is fixed
 within a size class [2^c, 2^(c+1)), and a set that could match one of the next
 class is sketched there too, so that partners always share a class.
 
-BANDS x ROWS registers are banded. At a similarity of 0.8 a pair shares no band
-with probability (1 - 0.8^5)^32 = 3e-6. Pairs that share a band pass the
-collision-corrected estimate when it is within five standard errors of the
-threshold, and are confirmed on full shingle sets.
+A band is a fixed draw of ROWS registers; there are BANDS of them. At a
+similarity of 0.8 a pair shares no band with probability (1 - 0.8^7)^40 = 8e-5,
+at 0.85 with 2e-7, while texts that only share a passage (0.2) meet with 5e-4.
+Pairs that share a band pass the collision-corrected estimate when it is within
+five standard errors of the threshold, and are confirmed on full shingle sets.
 
 Groups of copies are not expanded: equal sets collapse into one representative;
-within a band a star joins its members to the smallest one; only members that
-are then still in different components meet in pairs.
+within a band a star joins its members to the smallest one. Bands that then
+still hold several components are searched for links across them, small ones in
+pairs, large ones in whole blocks that emit only links joining components.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ from brinewell.llm.text import mix, shingle_set
 from brinewell.operators.components import connected_components
 from brinewell.plans.lineage import cut
 
-BANDS, ROWS = 32, 5
-REGISTERS = BANDS * ROWS
+BANDS, ROWS, REGISTERS = 40, 7, 160
 MANTISSA = 10
 EMPTY = 0xFFFF
 #: Mean entries of a register; a register stays empty with probability e^-LOAD at most.
-LOAD = 8
+LOAD = 5
+#: Members of a band that are paired outright, and bytes of full sets in one block of a larger band.
+FEW, BLOCK_BYTES = 8, 16 << 20
 #: Standard errors by which an estimate may miss the threshold before the pair is dropped.
 MARGIN = 5.0
 
@@ -57,25 +60,30 @@ def size_classes(n: int, threshold: float) -> list[int]:
     return [c, c + 1] if n >= threshold * (1 << (c + 1)) else [c]
 
 
+_EDGES = np.arange(REGISTERS, dtype=_U) << _U(32)
+_DRAWS = np.stack([np.random.default_rng(k).permutation(REGISTERS)[:ROWS] for k in range(BANDS)])
+_FACTORS = mix(np.arange(1, ROWS + 1, dtype=_U)) | _U(1)
+
+
 def sketch(shingles: np.ndarray, size_class: int) -> np.ndarray:
     """The compressed registers (uint16) of one set in one size class."""
-    low = np.full(REGISTERS, 1 << 32, _U)
-    for seed in range(repeats(size_class)):
-        h = mix(shingles ^ mix(np.array([(size_class << 20) + seed + 1], _U)))
-        bucket = ((h >> _U(32)) * _U(REGISTERS)) >> _U(32)
-        np.minimum.at(low, bucket.astype(np.int64), h & _U(0xFFFFFFFF))
+    seeds = mix(np.arange(1, repeats(size_class) + 1, dtype=_U) + _U(size_class << 20))
+    h = mix((shingles[None, :] ^ seeds[:, None]).ravel())
+    # Bucket in the upper half, hash in the lower: sorted, the least of a bucket is the first at or after its edge.
+    h = np.sort((((h >> _U(32)) * _U(REGISTERS)) & _U(0xFFFFFFFF00000000)) | (h & _U(0xFFFFFFFF)))
+    at = np.searchsorted(h, _EDGES)
+    least = h[np.minimum(at, len(h) - 1)]
+    empty = (at == len(h)) | (least >> _U(32) != _EDGES >> _U(32))
+    low = least & _U(0xFFFFFFFF)
     part, exponent = np.frexp(low.astype(np.float64))
-    zeros = np.where(low == 0, 33, 32 - exponent)
-    bits = np.where(low == 0, 0, (part * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
-    return np.where(low > 0xFFFFFFFF, EMPTY, zeros << MANTISSA | bits).astype(np.uint16)
+    bits = (np.maximum(part * 2 - 1, 0) * (1 << MANTISSA)).astype(np.int64)
+    return np.where(empty, EMPTY, (np.where(low == 0, 33, 32 - exponent) << MANTISSA) | bits).astype(np.uint16)
 
 
 def band_keys(registers: np.ndarray, size_class: int) -> list[int]:
     """A key for each band without an empty register."""
-    rows = registers.reshape(BANDS, ROWS)
-    key = np.full(BANDS, (size_class + 1) << 8, _U) + np.arange(BANDS, dtype=_U)
-    for i in range(ROWS):
-        key = mix(key * _U(0x9FB21C651E98DF25) + rows[:, i].astype(_U))
+    rows = registers[_DRAWS]
+    key = mix((rows * _FACTORS).sum(1, dtype=_U) + np.arange(BANDS, dtype=_U) + _U((size_class + 1) << 8))
     return key[(rows != EMPTY).all(1)].view(np.int64).tolist()
 
 
@@ -142,24 +150,89 @@ def _likely(threshold: float):
     return run
 
 
-def _confirmed(size: int, percent: int):
+def _linked(x: int, y: int, both: int, percent: int) -> bool:
+    return 100 * both >= percent * (x + y - both) > 0
+
+
+def _confirmed(percent: int):
     """Keep pairs whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, np.empty(0, _U)
         for batch in batches:
             keep = []
-            for b, ta, tb in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                if b != last:
-                    last, kept = b, shingle_set(tb.as_py(), size)
-                own = shingle_set(ta.as_py(), size)
-                both = len(np.intersect1d(own, kept, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(kept) - both) > 0)
+            for sa, sb in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = np.frombuffer(sa.as_buffer(), _U), np.frombuffer(sb.as_buffer(), _U)
+                keep.append(_linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = pa.array([shingle_set(t.as_py(), size).tobytes() for t in batch.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "whole"])
+
+    return run
+
+
+def _bridges(ids: list[int], components: list[int], sides: list[bool], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one block pair, found by counting shared shingles through postings.
+
+    Every member outside the component with most members is held against all
+    others at once, so each pair across components is covered; members joined
+    meanwhile are passed over.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    shingles = np.concatenate(sets)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    _, roots = np.unique(components, return_inverse=True)
+    side = np.array(sides)
+    largest = int(np.bincount(roots).argmax())
+    out = []
+    for i in np.flatnonzero(roots != largest):
+        first, last = np.searchsorted(shingles, sets[i], "left"), np.searchsorted(shingles, sets[i], "right")
+        runs = last - first
+        where = np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
+        both = np.bincount(owner[where], minlength=len(sets))
+        near = (100 * both >= percent * (n + n[i] - both)) & (roots != roots[i]) & (both > 0)
+        if side.any() and not side.all():
+            near &= side != side[i]
+        for j in np.flatnonzero(near):
+            if roots[j] != roots[i]:
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                roots[roots == roots[j]] = roots[i]
+    return out
+
+
+def _across(percent: int):
+    """Bridges of each run of rows with one ``(key, low, high)``; such a run is a block pair of bounded bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def flush() -> pa.RecordBatch:
+            out = _bridges(*map(list, zip(*rows, strict=True)), percent) if len({r[1] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, low, high, block, i, c, whole in zip(*(batch.column(x).to_pylist() for x in ("key", "low", "high", "block", "id", "component", "whole")), strict=True):
+                if (key, low, high) != now:
+                    if rows:
+                        yield flush()
+                    now, rows = (key, low, high), []
+                rows.append((i, c, block == high and low != high, np.frombuffer(whole, _U)))
+        if rows:
+            yield flush()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
@@ -176,26 +249,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(source.mapInArrow(_signatures(size, threshold), schema), "signatures")
     nodes = signed.select("id", "n_shingles", "set_a", "set_b").where("n_shingles > 0 and id is not null")
     members = nodes.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"))
-    reps = cut(signed.where("n_shingles > 0").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n_shingles", "classes", "sketches", "bands"), "reps")
+    heads = members.select(F.col("rep").alias("id")).distinct()
+    reps = cut(signed.where("n_shingles > 0").join(heads, "id", "left_semi").select("id", "n_shingles", "classes", "sketches", "bands"), "reps")
+
     banded = reps.select("id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
-    stars = banded.join(shared, "key").where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    links = _check(stars, reps, source, size, percent)
-    found = cut(connected_components(links, "a", "b"), "components")
-
-    # Bands that still hold two components or more: pairs across them.
-    open_bands = banded.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    several = open_bands.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = cut(open_bands.join(several, "key"), "open_bands")
-    left, right = rest.toDF("key", "a", "ca"), rest.toDF("key", "b", "cb")
-    pairs = left.join(right, "key").where("ca > cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _check(pairs, reps, source, size, percent)
+    shared = banded.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").drop("last")
+    rows = cut(banded.join(shared, "key"), "shared_bands")
+    # The texts of sets that share a band are hashed once more and kept; a merge join at every size, as the wanted ids grow with the input.
+    wanted = rows.select("id").distinct()
+    sets = cut(source.hint("merge").join(wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, whole binary"), "sets")
+    stars = rows.where("id > center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    links = _check(stars, reps, sets, percent)
+    found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    more = _open_bands(rows.drop("center"), cut(found, "components"), stars, reps, sets, percent)
 
     same = nodes.join(members, ["n_shingles", "set_a", "set_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    multi = nodes.groupBy("id").count().where("count > 1").select("id")
-    links = links.union(more)
-    # Copies follow their representative directly; the loop runs on representatives alone.
-    final = connected_components(links.union(same.join(multi.withColumnRenamed("id", "a"), "a", "left_semi")), "a", "b").toDF("rep", "component")
+    multi = nodes.groupBy("id").count().where("count > 1").select(F.col("id").alias("a"))
+    # Copies follow their representative directly; the loop runs on representatives alone, and on ids with several texts.
+    final = connected_components(links.union(more).union(same.join(multi, "a", "left_semi")), "a", "b").toDF("rep", "component")
     return (
         signed.select("id", "n_shingles", "set_a", "set_b")
         .join(members, ["n_shingles", "set_a", "set_b"], "left")
@@ -205,12 +276,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _check(pairs: DataFrame, reps: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+def _open_bands(rows: DataFrame, found: DataFrame, stars: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components that still meet in a band.
+
+    Bands with up to FEW members make pairs, fewer than FEW for each member.
+    Larger ones are handed out whole, as block pairs of bounded bytes, and
+    emit only links that join components.
+    """
+    placed = rows.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n")
+    rest = cut(placed.join(several, "key"), "open_bands")
+    few = rest.where(F.col("n") <= FEW)
+    left, right = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+    pairs = left.join(right, "key").where("a > b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    links = _check(pairs, reps, sets, percent)
+
+    many = rest.where(F.col("n") > FEW).join(reps.select("id", "n_shingles"), "id")
+    blocks = many.groupBy("key").agg(F.ceil(F.sum(F.col("n_shingles") * 8) / BLOCK_BYTES).alias("blocks"))
+    dealt = many.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    drawn = dealt.join(sets, "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return links.union(cut(drawn.mapInArrow(_across(percent), "a long, b long"), "bridges"))
+
+
+def _check(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` that pass the estimate and then the full sets, as a written table."""
     side = reps.select("id", "n_shingles", "classes", "sketches")
     drawn = pairs.join(side.toDF("a", "n_a", "classes_a", "sketches_a"), "a").join(side.toDF("b", "n_b", "classes_b", "sketches_b"), "b")
     likely = cut(drawn.mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    texts = cut(source.join(wanted, "id").dropDuplicates(["id"]), "texts")
-    full = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").sortWithinPartitions("b")
-    return cut(full.mapInArrow(_confirmed(size, percent), "a long, b long"), "links")
+    full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    return cut(full.mapInArrow(_confirmed(percent), "a long, b long"), "links")

@@ -63,7 +63,9 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
         return np.empty(0, _U)
     h = word_hashes(words)
     k = min(size, len(h))
-    total = np.zeros(len(h) - k + 1, _U)
-    for i in range(k):
-        total = mix(total * _U(0x9FB21C651E98DF25) + h[i : len(h) - k + 1 + i] + _U(k))
-    return np.unique(total)
+    n = len(h) - k + 1
+    total = h[:n] + _U(k)
+    for i in range(1, k):
+        total += h[i : n + i] * mix(np.array([i], _U))
+    total = np.sort(mix(total))
+    return total[np.append(True, total[1:] != total[:-1])]
