@@ -125,6 +125,9 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def training_order(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` once per copy, range-sorted by ``position``; ids must be unique."""
+    """The rows of ``docs`` once per copy, range-sorted by ``position``; ids must be unique.
+
+    Columns of ``docs`` named ``copy`` or ``position`` are replaced.
+    """
     places = mix.select(F.col("id").alias(id_col), F.posexplode("positions").alias("copy", "position"))
-    return docs.join(places, id_col).orderBy("position", id_col, "copy")
+    return docs.drop("copy", "position").join(places, id_col).orderBy("position", id_col, "copy")

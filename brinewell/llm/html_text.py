@@ -291,6 +291,10 @@ def made_pages(count: int, seed: int = 0) -> Iterator[tuple[str, dict[str, bool]
         head = f"<html lang=\"{pick('en', 'de', 'fr')}\"><head><title>{say(False, 2, 10)}</title><style>p{{}}</style></head><body>"
         page = ["<!DOCTYPE html>", head]
         maybe = lambda p, f: page.append(f()) if rng.random() < p else None
+        if rng.random() < 0.12:  # a bare fragment
+            shell = pick("<article>", "<main>", "<div>", "")
+            yield shell + body(), role
+            continue
         maybe(0.2, notice)
         if rng.random() < 0.5:
             page.append(f"<{(t := pick('header', 'header', 'div'))}{'' if t == 'header' else pick(' class=\"header\"', ' id=\"masthead\"', ' class=\"topbar\"')}>{pick('', '<p>' + say(False, 1, 6) + '</p>')}{menu()}</{t}>")
