@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,14 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _LOCAL[app] = tempfile.mkdtemp(prefix="brinewell-")
     return _LOCAL[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the tables that were cut inside; what is still needed must have been written elsewhere."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for folder in _MADE[before:]:
+            _delete(spark, folder)
+        del _MADE[before:]
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
@@ -46,12 +67,8 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`cut` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
