@@ -26,7 +26,9 @@ from brinewell.plans.lineage import cut
 
 WINDOW = 10
 #: Words of benchmark text that one pass takes.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
+#: Candidate starts of one document that are held at a time, about; all are tried.
+CANDIDATES = 500_000
 #: Rarest terms of a window that make a proximity match.
 NEAR_TERMS = 4
 
@@ -107,25 +109,40 @@ def _index(vocabulary):
 
 def _phrases(w: Windows, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and windows of all exact matches in one document."""
-    starts, which = [], []
-    for i in np.flatnonzero(w.first[terms + 1] > w.first[terms]):
-        own = w.by_anchor[w.first[terms[i]] : w.first[terms[i] + 1]]
-        at = positions[ends[i] : ends[i + 1], None] - w.order[own, 0]
-        ok = (at >= 0) & (at + w.length[own] <= n_words)
-        starts.append(at[ok])
-        which.append(np.broadcast_to(own, at.shape)[ok])
-    if not starts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    start, window = np.concatenate(starts), np.concatenate(which)
     term_at = np.full(n_words, -1, np.int64)
     term_at[positions] = np.repeat(terms, np.diff(ends))
-    for k in range(1, w.terms.shape[1]):
-        if not len(start):
-            break
-        offset = w.order[window, k]
-        over = w.length[window] <= k
-        keep = over | (term_at[np.where(over, 0, start + offset)] == w.terms[window, offset])
-        start, window = start[keep], window[keep]
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    drawn: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def intersect() -> None:
+        """Hold the candidates drawn so far against the lists of the other terms, from rare to common."""
+        start, window = (np.concatenate(x) for x in zip(*drawn, strict=True))
+        for k in range(1, w.terms.shape[1]):
+            if not len(start):
+                break
+            offset = w.order[window, k]
+            over = w.length[window] <= k
+            keep = over | (term_at[np.where(over, 0, start + offset)] == w.terms[window, offset])
+            start, window = start[keep], window[keep]
+        out.append((start, window))
+        drawn.clear()
+
+    for i in np.flatnonzero(w.first[terms + 1] > w.first[terms]):
+        anchored, own_positions = w.by_anchor[w.first[terms[i]] : w.first[terms[i] + 1]], positions[ends[i] : ends[i + 1], None]
+        step = max(1, CANDIDATES // len(own_positions))
+        for first in range(0, len(anchored), step):
+            own = anchored[first : first + step]
+            at = own_positions - w.order[own, 0]
+            ok = (at >= 0) & (at + w.length[own] <= n_words)
+            drawn.append((at[ok], np.broadcast_to(own, at.shape)[ok]))
+            held += at.size
+            if held > CANDIDATES:
+                intersect()
+                held = 0
+    if drawn:
+        intersect()
+    start, window = (np.concatenate(x) for x in zip(*out, strict=True))
     return start, window
 
 

@@ -15,7 +15,7 @@ from brinewell.llm.decontaminate import benchmark_matches
 from brinewell.llm.language_id import UNDETERMINED, fit, identify
 from brinewell.llm.near_dedup import near_duplicates
 from brinewell.llm.pii import mask, personal_data
-from brinewell.plans.lineage import cut, small
+from brinewell.plans.lineage import cut, new_path, scratch, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Pooled probability below which a document's language counts as unknown.
@@ -67,10 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; each stage's own tables go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        out = new_path(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -72,9 +72,10 @@ def naive(docs, items, size=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [1_000_000, 12])
-def test_matches_are_those_of_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, held", [(1_000_000, 500_000), (12, 3)])
+def test_matches_are_those_of_brute_force(spark, monkeypatch, block, held):
     monkeypatch.setattr(D, "BLOCK_WORDS", block)
+    monkeypatch.setattr(D, "CANDIDATES", held)
     rng = random.Random(4)
     word = lambda: rng.choice(["the", "of", "a", "É", "x1", "rare", "q"])
     items = [(k, " ".join(word() for _ in range(rng.randrange(1, 16)))) for k in range(12)] + [(12, None), (13, ""), (None, "the of"), (3, "Q-Q-q"), (14, "the " * 11)]
