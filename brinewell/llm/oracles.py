@@ -104,4 +104,33 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
   CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM t
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op3_curriculum": OP3, "op4_decontaminate": OP4, "op5_chat_format": OP5, "op8_near_dedup": OP8, "op10_warc": OP10}
+
+
+def _op6() -> str:
+    from brinewell.llm.licenses import MIN_COSINE, TERM, TRIGGER, _vectors
+
+    rows, unknown = _vectors()
+    terms = ", ".join(f"('{a}', {k}, '{t}', {i!r}::DOUBLE, {p!r}::DOUBLE)" for a, k, t, i, p in rows)
+    return rf"""
+WITH terms(license, template, term, idf, part) AS (VALUES {terms}),
+idf AS (SELECT DISTINCT term, idf FROM terms),
+f AS (SELECT doc_id AS row, doc_id, coalesce(text, '') AS text, coalesce(length(text) < 400 AND contains(lower(text), 'licen'), false) AS is_license,
+  list_filter(string_split(coalesce(source, '') || '/' || CAST(doc_id // 100 AS VARCHAR), '/'), lambda x: x <> '') AS parts FROM documents),
+u AS (SELECT row, unnest(list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{TRIGGER}')), CASE WHEN is_license THEN [text] ELSE [] END)) AS text FROM f WHERE regexp_matches(text, '{TRIGGER}')),
+v AS (SELECT row_number() OVER () AS unit, * FROM u),
+n AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM v) GROUP BY ALL),
+w AS (SELECT unit, term, n * coalesce(idf, {unknown!r}::DOUBLE) AS weight FROM n LEFT JOIN idf USING (term)),
+norms AS (SELECT unit, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY unit),
+dots AS (SELECT unit, license, sum(weight * part) AS dot FROM w JOIN terms USING (term) GROUP BY unit, license, template),
+scored AS (SELECT row, license, round(dot / norm, 4) AS cosine FROM dots JOIN norms USING (unit) JOIN v USING (unit)),
+own AS (SELECT row, min({{'low': -cosine, 'license': license}}) AS own FROM scored WHERE cosine >= {MIN_COSINE}e0 GROUP BY row),
+d AS (SELECT f.*, array_to_string(parts, '/') AS dir, own FROM f LEFT JOIN own USING (row)),
+holders AS (SELECT dir, min(own) AS held FROM d WHERE is_license AND own IS NOT NULL GROUP BY dir),
+above AS (SELECT leaf, k, array_to_string(parts[1:k], '/') AS dir FROM (SELECT DISTINCT dir AS leaf, parts, unnest(generate_series(0, len(parts))) AS k FROM d)),
+near AS (SELECT leaf, arg_max(dir, k) AS from_dir, arg_max(held, k) AS held FROM above JOIN holders USING (dir) GROUP BY leaf)
+SELECT doc_id, coalesce(own.license, held.license) AS license, coalesce(-own.low, -held.low) AS cosine, CASE WHEN own IS NOT NULL THEN 'own' WHEN held IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own IS NOT NULL THEN d.dir WHEN held IS NOT NULL THEN from_dir END AS license_dir FROM d LEFT JOIN near ON leaf = d.dir
+"""
+
+
+ORACLES = {"op1_quality_rules": OP1, "op3_curriculum": OP3, "op4_decontaminate": OP4, "op5_chat_format": OP5, "op6_license_scan": _op6(), "op8_near_dedup": OP8, "op10_warc": OP10}
