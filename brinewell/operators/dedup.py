@@ -35,7 +35,7 @@ def group_items(items: DataFrame) -> DataFrame:
     rows = check_items(items).select(
         F.monotonically_increasing_id().alias("item"), "post_id", F.col("post.external_url").alias("external_url"), parent_key(F.col("post.crosspost_parent")).alias("parent_id"),
         fold(F.coalesce("stage_b.subreddit", F.lit(""))).alias("community"), zero("stage_b.preliminary_score").cast("double").alias("score"), zero("stage_b.relevance").alias("relevance"),
-        zero("stage_b.value").alias("value"), zero("stage_b.engagement_score").cast("double").alias("engagement"),
+        zero("stage_b.value").alias("value"), zero("stage_b.engagement_score").cast("double").alias("engagement"), "stage_b", "post",
     )
     rows = cut(rows.withColumn("url", canonical_url("external_url")), "items")  # once, as the function runs in Python
     hubs = F.array_compact(F.array(F.concat(F.lit("p:"), "post_id"), F.concat(F.lit("p:"), "parent_id"), F.concat(F.lit("u:"), "url")))
@@ -49,10 +49,10 @@ def _best() -> list[Column]:
 
 
 def dedup_groups(items: DataFrame) -> DataFrame:
-    """One row per group, by its representative's score and id."""
+    """One row per group, by its representative's score and id, with the whole items of its members in order."""
     members = group_items(items)
     # Sort keys as one struct, so that members are ordered within the group's array.
-    order = F.struct((-F.col("score")).alias("a"), (-F.col("relevance")).alias("b"), (-F.col("value")).alias("c"), (-F.col("engagement")).alias("d"), "community", "post_id", "item", "parent_id", "url", "score")
+    order = F.struct((-F.col("score")).alias("a"), (-F.col("relevance")).alias("b"), (-F.col("value")).alias("c"), (-F.col("engagement")).alias("d"), "community", "post_id", "item", "parent_id", "url", "score", "stage_b", "post")
     groups = members.groupBy("component").agg(F.array_sort(F.collect_list(order)).alias("m"))
     ids = F.col("m.post_id")
     best = F.col("m")[0]
@@ -67,6 +67,7 @@ def dedup_groups(items: DataFrame) -> DataFrame:
         F.concat(F.lit("dedup-"), F.substring(F.sha2(F.array_join(F.array_sort(ids), "\n").cast("binary"), 256), 1, 12)).alias("group_id"),
         best["post_id"].alias("representative_post_id"), best["score"].alias("representative_score"), ids.alias("member_post_ids"), F.size("m").alias("size"), (F.size("m") > 1).alias("is_duplicate_group"),
         shared("url", "normalized_url").alias("shared_external_urls"), links.alias("crosspost_links"), shared("parent_id", "parent_id").alias("shared_crosspost_parents"),
+        F.struct(best["stage_b"].alias("stage_b"), best["post"].alias("post")).alias("representative"), F.transform("m", lambda x: F.struct(x["stage_b"].alias("stage_b"), x["post"].alias("post"))).alias("members"),
     )
     inside = F.exists("crosspost_links", lambda x: F.array_contains("member_post_ids", x["parent_id"]))
     signals = F.array(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from brinewell.functions.text import drop_kind_prefix
-from brinewell.plans.lineage import small
+from brinewell.plans.lineage import cut, small
 
 #: Page and lookup sizes, and the bounds of retries.
 PAGE, LOOKUP, TRIES, TIMEOUT_S, LEAST_DELAY, MOST_DELAY = 100, 500, 4, 30, 1, 60
@@ -137,7 +137,7 @@ def scan_window(spark: SparkSession, transport: Transport, communities: Sequence
     from pyspark import cloudpickle
 
     options = {"communities": json.dumps(list(communities)), "start": at(start), "end": at(end), "transport": b64encode(cloudpickle.dumps(transport)).decode()}
-    both = spark.read.format("community_posts").options(**options).load()
+    both = cut(spark.read.format("community_posts").options(**options).load(), "fetched")  # once, so that no plan asks the web twice
     return both.where("error is null").drop("error"), both.where("error is not null").select("community", "error")
 
 
