@@ -32,6 +32,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.union(low.select("u", F.col("m").alias("v")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node links to one root, and no root links on; such stars no round would change."""
+    ends = edges.select("u", F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below = 1 and above = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node of ``edges``, the component named by its smallest node.
 
@@ -40,16 +46,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = pairs.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
-    now = cut(pairs.where("u <> v").distinct(), "edges")
-    mark = None
+    now, last = pairs.where("u <> v"), None
     for _ in range(MAX_ROUNDS):
         step = cut(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
-        seen = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(now)
-        now = step
-        if tuple(seen) == mark:
+        if last is not None:
+            drop_table(last)
+        now = last = step
+        if _settled(now):
             break
-        mark = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
