@@ -259,9 +259,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = rows.select("id").distinct()
     sets = cut(source.hint("merge").join(wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, whole binary"), "sets")
     stars = rows.where("id > center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    links = _check(stars, reps, sets, percent)
+    links = cut(_check(stars, reps, sets, percent), "links")
     found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-    more = _open_bands(rows.drop("center"), cut(found, "components"), stars, reps, sets, percent)
+    more = _open_bands(rows.drop("center"), found, stars, reps, sets, percent)
 
     same = nodes.join(members, ["n_shingles", "set_a", "set_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     multi = nodes.groupBy("id").count().where("count > 1").select(F.col("id").alias("a"))
@@ -297,13 +297,13 @@ def _open_bands(rows: DataFrame, found: DataFrame, stars: DataFrame, reps: DataF
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     drawn = dealt.join(sets, "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return links.union(cut(drawn.mapInArrow(_across(percent), "a long, b long"), "bridges"))
+    return cut(links.union(drawn.mapInArrow(_across(percent), "a long, b long")), "bridges")
 
 
 def _check(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` that pass the estimate and then the full sets, as a written table."""
+    """Pairs ``(a, b)`` that pass the estimate and then the full sets."""
     side = reps.select("id", "n_shingles", "classes", "sketches")
     drawn = pairs.join(side.toDF("a", "n_a", "classes_a", "sketches_a"), "a").join(side.toDF("b", "n_b", "classes_b", "sketches_b"), "b")
-    likely = cut(drawn.mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
+    likely = drawn.mapInArrow(_likely(percent / 100), "a long, b long")
     full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return cut(full.mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    return full.mapInArrow(_confirmed(percent), "a long, b long")
