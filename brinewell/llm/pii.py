@@ -24,8 +24,8 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Tokens with a digit that could be identifiers, and what parts tokens.
-_TOKEN = r"(?<![^\s\x22'(\[=:])(?=[A-Za-z._@+/-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9._@+/-]{4,}+"
+#: Tokens with a digit or an at sign that could be identifiers, and what parts tokens.
+_TOKEN = r"(?<![^\s\x22'(\[=:])(?=[A-Za-z._@+/-]{0,40}[0-9@])[A-Za-z0-9][A-Za-z0-9._@+/-]{4,}+"
 _PARTS = r"[\s\x22'(\[]++|(?<=[=:])(?=[^\s\x22'(\[])"
 #: Code points before an entity in which its left token is sought.
 _REACH = 80
