@@ -14,7 +14,6 @@ from brinewell.functions.times import iso_utc, week_end, week_start
 from brinewell.functions.urls import TRACKING_KEYS, canonical_url
 from brinewell.operators import classify, dedup, ranking, shortlist
 from brinewell.operators.screening import GIVEAWAY, ROUTINE, SPAM, STICKIED, label, screen
-from brinewell.plans.lineage import cut, small
 from brinewell.sources.normalize import normalize, post_type, removed_state
 
 QUERIES: dict = {}
