@@ -25,7 +25,7 @@ def strip(c: Column) -> Column:
 
 
 #: Letters outside ASCII that match an ASCII one where case is ignored.
-_LOOKALIKES, _LETTERS = "\u017f\u212a\u0131\u0130", "skii"
+_LOOKALIKES = "\u017f\u212a\u0131\u0130"
 
 
 def matches(c: Column, *patterns: str, needs: tuple[str, ...] = ()) -> Column:
@@ -38,9 +38,11 @@ def matches(c: Column, *patterns: str, needs: tuple[str, ...] = ()) -> Column:
     for p in patterns:
         found = found | c.rlike(java_pattern(p))
     if needs:
-        plain, held = F.lower(F.translate(c, _LOOKALIKES, _LETTERS)), F.lit(False)
+        held = F.lit(False)
         for word in needs:
-            held = held | F.contains(plain, F.lit(word))
+            held = held | F.contains(F.lower(c), F.lit(word))
+        for letter in _LOOKALIKES:
+            held = held | F.contains(c, F.lit(letter))
         found = held & found
     return found
 
