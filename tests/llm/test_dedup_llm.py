@@ -87,6 +87,18 @@ def test_estimates_are_near_the_similarity():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
 
 
+@pytest.mark.parametrize("n", [256, 450])
+def test_pairs_at_the_threshold_share_a_band(n):
+    """10,000 pairs at 0.8: bands that shared registers left about ten of them without a common band."""
+    rng = np.random.default_rng(n)
+    both, c, missed = 8 * n // 9, n.bit_length() - 1, 0
+    for _ in range(10_000):
+        pool = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+        a, b = (set(N.band_keys(N.sketch(s, c), c)) for s in (pool[:n], pool[n - both :]))
+        missed += not a & b
+    assert missed <= 2
+
+
 def test_partners_share_a_size_class():
     for n in range(1, 3000):
         for m in range(n, int(n / 0.8) + 1):
