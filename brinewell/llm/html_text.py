@@ -20,17 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements that hold no text of their own, that start blocks, and that close an open one of their kind.
-SKIPPED = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "noembed")
+#: Elements whose content is no markup, those of them that run to the end of the page when unclosed,
+#: elements that are dropped with their markup; then those that start blocks, and that close an open one of their kind.
+RAW = ("script", "style", "textarea", "iframe", "noembed")
+TO_END = ("script", "style", "textarea")
+DROPPED = ("template", "svg", "select")
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 SIBLINGS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+#: A last attribute value without quotes, to which a slash before the > belongs.
+_BARE_SLASH = re.compile(r"=\s*[^\s\"'=>]*/\Z")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PIECE = re.compile(r"[A-Za-z]+")
 
@@ -46,6 +52,59 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _empty(attrs: str) -> bool:
+    """Whether a start tag ends in />."""
+    return attrs.endswith("/") and not _BARE_SLASH.search(attrs)
+
+
+def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """Start, end, lower-case tag (none for comments and raw elements), whether it is an end tag, attributes."""
+    out, at, unclosed = [], 0, set()
+    while m := _TOKEN.search(page, at):
+        at, tag, end = m.end(), (m["tag"] or "").lower(), bool(m["end"])
+        if tag in RAW and not end and tag not in unclosed and (tag in TO_END or not _empty(m["attrs"])):
+            close = _CLOSING[tag].search(page, at)
+            if close or tag in TO_END:
+                at, tag = close.end() if close else len(page), ""
+            else:
+                unclosed.add(tag)
+        out.append((m.start(), at, tag, end, m["attrs"] or ""))
+    return out
+
+
+def _dropped(tokens: list[tuple[int, int, str, bool, str]]) -> dict[int, tuple[int, int]]:
+    """For each token that opens a dropped element: the token and the character at which the page goes on.
+
+    An element without an end is not dropped. As in HTML, a block ends an open
+    svg outside of its foreignObject; a block or another select ends a select.
+    """
+    out: dict[int, tuple[int, int]] = {}
+    opened: dict[str, list[int]] = {t: [] for t in DROPPED}
+    islands = 0
+    for i, (start, stop, tag, end, attrs) in enumerate(tokens):
+        if end:
+            if tag == "foreignobject":
+                islands = max(0, islands - 1)
+            elif opened.get(tag):
+                out[opened[tag].pop()] = i + 1, stop
+                islands *= bool(opened["svg"])
+            continue
+        if tag in BLOCKS or tag == "select":
+            ended = []
+            if tag not in ("title", "select") and not islands:
+                ended.append("svg")
+            if tag not in ("hr", "button", "div", "legend", "label"):
+                ended.append("select")
+            for t in ended:
+                out |= {k: (i, start) for k in opened[t]}
+                opened[t].clear()
+        if tag in DROPPED and not (tag == "svg" and _empty(attrs)):
+            opened[tag].append(i)
+        elif tag == "foreignobject" and opened["svg"] and not _empty(attrs):
+            islands += 1
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order: tag path, text with white space collapsed, characters inside links."""
     out: list[Block] = []
@@ -69,22 +128,26 @@ def blocks(page: str) -> list[Block]:
             text.append(piece)
             linked += len(piece) * bool(anchors)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+    tokens = _tokens(page)
+    dropped = _dropped(tokens) if any(t[2] in DROPPED for t in tokens) else {}
+    at = resume = 0
+    for i, (start, stop, tag, end, attrs) in enumerate(tokens):
+        if i < resume:
+            continue
+        add(page[at:start])
+        at = stop
+        if i in dropped:
+            resume, at = dropped[i]
             continue
         if tag not in BLOCKS:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
-                anchors = max(0, anchors - 1) if m["end"] else 1
+                anchors = max(0, anchors - 1) if end else 1
             continue
         flush()
         anchors = 0
-        if m["end"]:
+        if end:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
@@ -99,7 +162,7 @@ def blocks(page: str) -> list[Block]:
                 del stack[k:]
                 break
         if tag != "hr":
-            names = [tag, *(f"={w.lower()}" for a in _ATTR.finditer(m["attrs"]) for w in _PIECE.findall(a[2] or a[3] or a[4] or ""))]
+            names = [tag, *(f"={w.lower()}" for a in _ATTR.finditer(attrs) for w in _PIECE.findall(a[2] or a[3] or a[4] or ""))]
             stack.append((tag, tuple(names)))
     add(page[at:])
     flush()

@@ -86,6 +86,25 @@ def test_main_text(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string"), net).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>a<svg class="i"/>b<p>c<svg><text>no</text></svg>d', ["ab", "cd"]),
+        ("<p>a<math/>b<p>c", ["ab", "c"]),
+        ("<p>a<svg class=i><p>b<p>c<svg><g/><svg>no</svg>no</svg>d", ["a", "b", "cd"]),
+        ("<p>a<svg><foreignObject><p>no</p></foreignObject><title>no</title></svg>b", ["ab"]),
+        *((f"<p>a<{t}>b<p>c", ["ab", "c"]) for t in ("object", "canvas", "noscript", "math", "svg-icon", "iframe", "template", "noembed")),
+        ("<p>a<select><option>no<p>b", ["a", "b"]),
+        *((f"<p>a <{t}>b</{t}> c", ["a b c"]) for t in ("math", "object", "noscript", "canvas")),
+        *((f"<p>a <{t}><i>no</i></{t}>c<p>d", ["a c", "d"]) for t in ("svg", "template", "iframe", "select", "noembed", "style", "textarea")),
+        *((f"<p>a<{t}>no<p>no", ["a"]) for t in ("script", "style", "textarea")),
+        ('<p>a<iframe src="x"/>b<p>c<iframe src=x/>no</iframe>d', ["ab", "cd"]),
+    ],
+)
+def test_no_element_cuts_the_rest_of_a_page(page, want):
+    assert [b.text for b in H.blocks(page)] == want
+
+
 def test_parser_is_linear_on_hostile_pages():
     for page in ("<" * 100_000, "<a " + "'\"" * 50_000, "<div>" * 20_000 + "x", "&" * 100_000, "<!--" * 50_000, "<p class=\"" + "x" * 100_000):
         H.blocks(page)
