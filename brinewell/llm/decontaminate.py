@@ -29,8 +29,9 @@ WINDOW = 10
 BLOCK_WORDS = 200_000
 #: Candidate starts of one document that are held at a time, about; all are tried.
 CANDIDATES = 500_000
-#: Rarest terms of a window that make a proximity match.
+#: Rarest terms of a window that make a proximity match, and words within which they lie, in production.
 NEAR_TERMS = 4
+SLOP = 12
 
 #: Bytes that are no part of a word, once A-Z is lower-cased, become spaces.
 _BLANK = bytes(32 if b < 0x30 or 0x3A <= b < 0x61 or 0x7B <= b < 0x80 else b for b in range(256))
@@ -70,6 +71,16 @@ class Windows:
         self.by_anchor = np.argsort(self.anchor, kind="stable")
         self.first = np.searchsorted(self.anchor[self.by_anchor], np.arange(len(self.vocabulary) + 1))
 
+    def rank_near(self) -> None:
+        """After ``rank``: the distinct sets of rarest terms, listed by the rarest one, and the items of each."""
+        rare = np.take_along_axis(self.terms, self.order[:, :NEAR_TERMS], 1)
+        self.rare, of = np.unique(np.where(rare < 0, rare[:, :1], rare), axis=0, return_inverse=True)
+        items: list[set[str]] = [set() for _ in self.rare]
+        for own, k in zip(self.items, of.ravel().tolist(), strict=True):
+            items[k].update(own)
+        self.rare_items = [sorted(x) for x in items]
+        self.rare_first = np.searchsorted(self.rare[:, 0], np.arange(len(self.vocabulary) + 1))
+
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
     block, size = [], 0
@@ -146,23 +157,43 @@ def _phrases(w: Windows, terms: np.ndarray, ends: np.ndarray, positions: np.ndar
     return start, window
 
 
-def _near(w: Windows, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, slop: int) -> np.ndarray:
-    """Windows whose rarest terms all occur within ``slop`` words, in any order."""
-    held = np.zeros(len(w.vocabulary) + 1, bool)
-    held[terms] = True
-    own = np.concatenate([w.by_anchor[w.first[t] : w.first[t + 1]] for t in terms[w.first[terms + 1] > w.first[terms]]] or [np.empty(0, np.int64)])
-    rare = np.take_along_axis(w.terms[own], w.order[own, :NEAR_TERMS], 1)
-    own = own[(held[rare] | (rare < 0)).all(1)]
+def _near(w: Windows, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, n_words: int, slop: int) -> np.ndarray:
+    """Sets of rarest terms (rows of ``w.rare``) that all occur within ``slop`` words of one document, in any order."""
+    slot_of = np.full(len(w.vocabulary), -1, np.int64)
+    slot_of[terms] = np.arange(len(terms))
+    runs = w.rare_first[terms + 1] - w.rare_first[terms]
+    own = np.repeat(w.rare_first[terms] - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
+    slots = slot_of[w.rare[own]]
+    held = (slots >= 0).all(1)
+    own, slots = own[held], slots[held]
+    # Positions of all terms as one sorted list; no search for a term reaches the next term's positions.
+    stride = n_words + slop + 1
+    keys = np.append(np.repeat(np.arange(len(terms)), np.diff(ends)) * stride + positions, np.iinfo(np.int64).max)
+
+    def within(slot: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return keys[np.searchsorted(keys, slot * stride + low)] < slot * stride + high
+
     found = []
-    for x in own:
-        lists = [np.sort(positions[ends[i] : ends[i + 1]]) for i in np.searchsorted(terms, sorted({t for t in w.terms[x, w.order[x, :NEAR_TERMS]] if t >= 0}))]
-        at = np.sort(np.concatenate(lists))
-        for p in at:
-            reach = [np.searchsorted(y, p + slop) > np.searchsorted(y, p) for y in lists]
-            if all(reach):
-                found.append(x)
+    count = np.diff(ends)[slots[:, 0]]
+    part = np.cumsum(count) // CANDIDATES
+    for first, last in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right")), strict=True):
+        n = count[first:last]
+        of = np.repeat(np.arange(first, last), n)
+        p = positions[np.repeat(ends[slots[first:last, 0]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        for k in range(1, slots.shape[1]):  # each other term on either side of the rarest one
+            keep = within(slots[of, k], np.maximum(p - slop + 1, 0), p + slop)
+            of, p = of[keep], p[keep]
+        for back in range(slop):  # then all terms in one stretch that holds it
+            if not len(of):
                 break
-    return np.array(found, np.int64)
+            low = np.maximum(p - back, 0)
+            ok = np.ones(len(of), bool)
+            for k in range(1, slots.shape[1]):
+                ok &= within(slots[of, k], low, low + slop)
+            found.append(np.unique(of[ok]))
+            rest = ~np.isin(of, found[-1])
+            of, p = of[rest], p[rest]
+    return own[np.concatenate(found)] if found else own[:0]
 
 
 def _match(windows, slop: int):
@@ -185,7 +216,7 @@ def _match(windows, slop: int):
                 np.add.at(hit, start + w.length[window], -1)
                 hits.append(np.flatnonzero(np.cumsum(hit)).astype(np.int32))
                 items.append(sorted({y for x in np.unique(window) for y in w.items[x]}))
-                near.append(sorted({y for x in _near(w, terms, ends, positions, slop) for y in w.items[x]}) if slop else [])
+                near.append(sorted({y for x in _near(w, terms, ends, positions, n.as_py(), slop) for y in w.rare_items[x]}) if slop else [])
             cols = [batch.column(k) for k in range(3)] + [pa.array(x, t) for x, t in ((hits, pa.list_(pa.int32())), (items, pa.list_(pa.string())), (near, pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays(cols, schema=_MATCHES)
 
@@ -217,6 +248,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         for term, n in index.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # a row for each test term at most
             frequency[term] = n
         w.rank(frequency)
+        if slop:
+            w.rank_near()
         found = index.mapInArrow(_match(spark.sparkContext.broadcast(w), slop), MATCHES)
         out = found if out is None else out.union(found)
         several = out is not found

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewell.llm.curriculum import curriculum, training_order
-from brinewell.llm.decontaminate import benchmark_matches
+from brinewell.llm.decontaminate import SLOP, benchmark_matches
 from brinewell.llm.language_id import UNDETERMINED, fit, identify
 from brinewell.llm.near_dedup import near_duplicates
 from brinewell.llm.pii import mask, personal_data
@@ -40,10 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of the benchmark go."""
+    """Documents with a window of the benchmark go, and those with the rarest words of one close together."""
     keyed = docs.withColumn("key", _key())
-    found = benchmark_matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key")
-    gone = cut(found.where(F.size("hits") > 0).select(F.col("id").alias("key")), "contaminated")
+    found = benchmark_matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key", slop=SLOP)
+    gone = cut(found.where((F.size("hits") > 0) | (F.size("near_items") > 0)).select(F.col("id").alias("key")), "contaminated")
     return keyed.join(small(gone), "key", "left_anti").select(*COLUMNS)
 
 

@@ -95,6 +95,42 @@ def test_proximity(spark):
     assert got[1] == ([], ["1"]) and got[2] == ([], [])
 
 
+def test_proximity_query_finds_swapped_words(spark, tmp_path):
+    import corpus_pipeline
+    from brinewell.llm import queries as Q
+
+    words = [f"w{k}" for k in range(30)]
+    swapped = [w for k in range(0, 30, 6) for w in (words[k + 1], words[k], *words[k + 2 : k + 6])]
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, " ".join(swapped)), (2, " x ".join(words)), (3, " ".join(words)), (4, "w1 " + "x " * 40 + "w2")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_items, r.near_items) for r in Q.queries()["op4_proximity"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, "7"), 2: (0, "7"), 3: (1, "7"), 4: (0, "")}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [4]
+
+
+@pytest.mark.parametrize("held", [500_000, 3])
+def test_proximity_is_that_of_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(D, "CANDIDATES", held)
+    rng = random.Random(8)
+    word = lambda: f"w{int(rng.random() ** 2 * 40)}"
+    items = [(k, " ".join(word() for _ in range(rng.randrange(1, 14)))) for k in range(30)]
+    docs = [(k, " ".join(word() for _ in range(rng.randrange(50)))) for k in range(60)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seen = {w: sum(w in t.split() for _, t in docs) for _, x in items for w in x.split()}
+    want = {}
+    for i, t in docs:
+        w, near = t.split(), set()
+        for item, text in items:
+            v = text.split()
+            for at in range(max(1, len(v) - 9)):
+                rare = set(sorted(v[at : at + 10], key=lambda x: seen[x])[: D.NEAR_TERMS])
+                near |= {str(item)} if any(rare <= set(w[p : p + 6]) for p in range(len(w))) else set()
+        want[i] = sorted(near)
+    assert {r.id: list(r.near_items) for r in D.benchmark_matches(frame, bench, slop=6).collect()} == want
+    assert sum(map(len, want.values())) > 30
+
+
 def test_chats_round_trip(spark):
     rng = random.Random(5)
     nasty = ["<|end|>\n", "<|", "|>", "<|user|>\n", "&lt;|", "&amp;", "&", "<s>", "</s>", "[INST]", "[/INST]", "&lsqb;", "<", "|", ">", "[", "é😀", "\n", "", None, " ok "]
