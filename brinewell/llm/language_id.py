@@ -4,8 +4,10 @@ The unit has an update gate and no reset gate (the light gated unit of
 Ravanelli et al., 2018). It is trained in numpy by backpropagation through time
 on windows of bytes, with the document's language as the label of every
 position. For prediction every text is cut into windows of WINDOW bytes, which
-run side by side as lanes of one matrix; every position of every window is
-labelled, and a document's probabilities are the means over all its positions.
+run side by side as lanes of one matrix. A window's states start afresh, so it
+also reads CONTEXT bytes on either side, which warm them up and are labelled in
+their own windows; every byte of a text is labelled once, and a document's
+probabilities are the means over all its bytes.
 """
 
 from __future__ import annotations
@@ -18,22 +20,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HIDDEN, WINDOW, LANES = 8, 256, 1024
-#: Bounds of the training sample: languages (the most frequent), documents of each (about), code points of each.
-MAX_LANGUAGES, DOCS_PER_LANGUAGE, SAMPLE_CHARS = 64, 300, 1200
+HIDDEN, WINDOW, CONTEXT, LANES = 8, 256, 16, 1024
+#: Bounds of the training sample by default: documents in all, documents of a language, code points of a document.
+SAMPLE_DOCS, DOCS_PER_LANGUAGE, SAMPLE_CHARS = 20_000, 300, 1200
+#: A label column with more values than this holds no languages.
+MAX_LABELS = 10_000
 #: Length and number of the windows of a training step, steps, and learning rate.
 TRAIN_WINDOW, TRAIN_BATCH, STEPS, RATE = 64, 128, 240, 0.02
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def _run(table: np.ndarray, u: np.ndarray, x: np.ndarray, out: np.ndarray, back: bool, gates: np.ndarray | None = None) -> None:
-    """States (T, B, H) of one direction over the bytes x (T, B); ``gates`` receives the activations."""
+def _run(table: np.ndarray, u: np.ndarray, x: np.ndarray, out: np.ndarray, back: bool, gates: np.ndarray | None = None, begin: np.ndarray | None = None) -> None:
+    """States (T, B, H) of one direction over the bytes x (T, B); ``gates`` receives the activations, lanes in ``begin`` start after CONTEXT bytes."""
     steps, n = x.shape
     hidden = u.shape[0]
     h = np.zeros((n, hidden), np.float32)
     a, b = np.empty((n, 2 * hidden), np.float32), np.empty((n, 2 * hidden), np.float32)
     for t in range(steps - 1, -1, -1) if back else range(steps):
+        if begin is not None and t == CONTEXT and not back:
+            h[begin] = 0
         np.take(table, x[t], axis=0, out=a, mode="clip")
         np.matmul(h, u, out=b)
         a += b
@@ -56,11 +62,11 @@ class Network:
         small = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
         self.p = {"table0": small(256, 2 * hidden), "table1": small(256, 2 * hidden), "u0": small(hidden, 2 * hidden), "u1": small(hidden, 2 * hidden), "v": small(2 * hidden, len(languages)), "c": np.zeros(len(languages), np.float32)}
 
-    def _states(self, x: np.ndarray, gates: list[np.ndarray] | None = None) -> np.ndarray:
+    def _states(self, x: np.ndarray, gates: list[np.ndarray] | None = None, begin: np.ndarray | None = None) -> np.ndarray:
         hidden = self.p["u0"].shape[0]
         out = np.empty((2, *x.shape, hidden), np.float32)
         for d in (0, 1):
-            _run(self.p[f"table{d}"], self.p[f"u{d}"], x, out[d], d == 1, None if gates is None else gates[d])
+            _run(self.p[f"table{d}"], self.p[f"u{d}"], x, out[d], d == 1, None if gates is None else gates[d], begin)
         return out
 
     def _probabilities(self, states: np.ndarray) -> np.ndarray:
@@ -139,16 +145,20 @@ class Network:
         sizes = np.array([len(t) for t in texts], np.int64)
         lanes = -(-sizes // WINDOW)
         owner = np.repeat(np.arange(len(texts)), lanes)
-        ends = np.cumsum(lanes * WINDOW)
-        data = np.zeros(int(lanes.sum()) * WINDOW, np.uint8)
-        for t, end, k in zip(texts, ends, lanes * WINDOW, strict=True):
-            data[end - k : end - k + len(t)] = np.frombuffer(t, np.uint8)
-        data = data.reshape(-1, WINDOW)
+        first = np.concatenate(([0], np.cumsum(lanes)))
+        left = sizes[owner] - (np.arange(int(first[-1])) - first[owner]) * WINDOW
+        wide = WINDOW + 2 * CONTEXT
+        data = np.empty((int(first[-1]), wide), np.uint8)
+        for k, t in enumerate(texts):
+            own = np.zeros(int(lanes[k]) * WINDOW + 2 * CONTEXT, np.uint8)
+            own[CONTEXT : CONTEXT + len(t)] = np.frombuffer(t, np.uint8)
+            if len(t):
+                data[first[k] : first[k + 1]] = np.lib.stride_tricks.sliding_window_view(own, wide)[::WINDOW]
         for at in range(0, len(data), LANES):
-            x = np.ascontiguousarray(data[at : at + LANES].T)
-            prob = self._probabilities(self._states(x))
+            states = self._states(np.ascontiguousarray(data[at : at + LANES].T), begin=np.flatnonzero(np.isin(np.arange(at, min(at + LANES, len(data))), first)))
+            prob = self._probabilities(np.ascontiguousarray(states[:, CONTEXT : CONTEXT + WINDOW]))
             label = prob == prob.max(0)
-            used = (x != 0).ravel()
+            used = (np.arange(WINDOW)[:, None] < left[at : at + LANES]).ravel()
             prob *= used
             label &= used
             who = owner[at : at + LANES]
@@ -162,24 +172,31 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", steps: int = STEPS) -> Network | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", steps: int = STEPS, documents: int = DOCS_PER_LANGUAGE, chars: int = SAMPLE_CHARS, most: int = SAMPLE_DOCS) -> Network | None:
     """A network trained on a bounded, hash-chosen sample of labelled rows that aren't held out; None without any.
 
-    The sample has about DOCS_PER_LANGUAGE documents of each of the
-    MAX_LANGUAGES most frequent languages, of each SAMPLE_CHARS code points
-    from a hashed offset; its rows do not depend on partitioning.
+    The sample has about ``documents`` different texts of each language, of each
+    ``chars`` code points from a hashed offset. Every language has its share,
+    and with more than ``most`` / ``documents`` languages the shares shrink.
+    Texts are chosen by a hash of the text, and equal ones count once, so the
+    sample does not depend on partitioning, null and repeated ids have no part
+    in it, and a text that fills a third of all rows is one row of it. A
+    language with fewer texts gives all of them. Rows without a label or a text
+    are left out; more than MAX_LABELS labels raise.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(label_col).cast("string").alias("label"), F.xxhash64(key, F.lit(7)).alias("h"), F.col(text_col).cast("string").alias("text"))
-    totals = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.where("text <> ''").withColumn("h", F.xxhash64("text", F.lit(7)))
+    totals = rows.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MAX_LABELS + 1).collect()  # a row for each language
     if not totals:
         return None
-    bound = F.lit(-1.0)
-    for r in totals:
-        bound = F.when(F.col("label") == r["label"], F.lit(min(1.0, DOCS_PER_LANGUAGE / r["count"]))).otherwise(bound)
-    chosen = rows.where((F.pmod("h", F.lit(1 << 30)) + 1).cast("double") / (1 << 30) <= bound)
-    offset = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    sample = sorted((r["label"], r["h"], r["piece"]) for r in chosen.select("label", "h", F.substring("text", offset, F.lit(SAMPLE_CHARS)).alias("piece")).where("piece <> ''").collect())
+    if len(totals) > MAX_LABELS:
+        raise ValueError(f"{label_col} has more than {MAX_LABELS} values")
+    share = max(1, min(documents, most // len(totals)))
+    bounds = docs.sparkSession.createDataFrame([(r["label"], min(1.0, share / r["n"])) for r in totals], "label string, bound double")
+    chosen = rows.join(F.broadcast(bounds), "label").where((F.pmod("h", F.lit(1 << 30)) + 1).cast("double") / (1 << 30) <= F.col("bound"))
+    offset = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
+    pieces = chosen.groupBy("label", "h").agg(F.min(F.substring("text", offset, F.lit(chars))).alias("piece"))
+    sample = sorted((r["label"], r["h"], r["piece"]) for r in pieces.collect())
     languages = sorted({label for label, _, _ in sample})
     if not languages:
         return None
@@ -188,7 +205,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return net
 
 
-
 def _predict(model, at_text: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network | None = model.value

@@ -61,6 +61,44 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in L.identify(docs, None).collect()} == {"und"}
 
 
+def test_the_sample_is_of_texts_not_ids(spark):
+    """Null ids, one id for all rows, and a text that fills most rows: a model is fitted, on a bounded sample."""
+    en = lambda k: f"the thing number {k} is with the others"
+    de = lambda k: f"das ding nummer {k} ist nicht schön"
+    rows = [(None, t(k), y) for k in range(3000) for t, y in ((en, "en"), (de, "de"))] + [(None, "always the same", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert not docs.where(L.held_out()).count()
+    sizes = []
+    train = L.Network.train
+
+    def spy(self, texts, labels, steps):
+        sizes.append((len(texts), len(set(texts))))
+        train(self, texts, labels, 60)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(L.Network, "train", spy)
+        net = L.fit(docs)
+        L.fit(docs.withColumn("doc_id", F.lit(1).cast("long")), documents=20)
+        many = spark.createDataFrame([(1, f"text {k}", f"l{k:03}") for k in range(90)], "doc_id long, text string, lang string")
+        assert len(L.fit(many, most=60).languages) == 90
+    assert sizes[0][0] == sizes[0][1] and 400 < sizes[0][0] < 800 and 20 < sizes[1][0] < 70
+    got = L.identify(docs, net, keep=("lang",)).groupBy("lang", "lang_pred").count().collect()
+    assert sum(r["count"] for r in got if r.lang == r.lang_pred) >= 6000
+    with pytest.raises(ValueError):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(L, "MAX_LABELS", 50)
+            L.fit(many)
+
+
+def test_windows_join_without_a_seam():
+    """Bytes are labelled once each, NUL characters among them, and a text is read alike wherever its windows are cut."""
+    net = L.Network(["a", "b"], hidden=4)
+    prob, counts = net.read([b"ab\x00cd" * 1000, b"", b"x"])
+    assert counts.sum(1).tolist() == [5000, 0, 1] and prob[1].sum() == 0
+    whole = net._probabilities(net._states(np.frombuffer(b"ab\x00cd" * 1000, np.uint8)[:, None].copy())).mean(1)
+    assert np.abs(whole - prob[0]).max() < 0.01
+
+
 PAGES = {
     "plain": ("<html><head><title>T</title><script>var a='<p>no</p>';</script><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a><li><a href=/b>About</a></ul></nav><article><h1>Big  title</h1><p>First &amp; best\n line with several words in it.<p>Second paragraph of the text, of some length too.</article><footer>&copy; me</footer></body></html>", "Big title\nFirst & best line with several words in it.\nSecond paragraph of the text, of some length too."),
     "noisy": ('<body><div class="cookie-notice"><p>We use cookies.</p></div><header><a href="/">Site</a></header><main><h1>Words here</h1><p>The story goes on for a while, and then it ends well.</p><div class="ad">Buy now</div><p>Another part of the story, told by another voice.</p></main><aside class="sidebar"><h3>Related</h3><p>Other story</p></aside><section id="comments"><h3>Comments</h3><div class="comment"><p>I liked this story very much, thanks.</p></div></section><form><label>Name</label><button>Send</button></form></body>', "Words here\nThe story goes on for a while, and then it ends well.\nAnother part of the story, told by another voice."),
