@@ -18,8 +18,8 @@ from brinewell.llm.pii import mask, personal_data
 from brinewell.plans.lineage import cut, new_path, scratch, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Pooled probability below which a document's language counts as unknown.
-MIN_SCORE = 0.3
+#: How far from chance (one over the number of languages) to certainty a document's pooled probability must be.
+MIN_LIFT = 1 / 15
 
 
 def _key() -> Column:
@@ -27,9 +27,19 @@ def _key() -> Column:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that the model is sure of, go."""
-    read = identify(docs, fit(docs), keep=COLUMNS)
-    return read.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    """Documents without a letter, or in no language that the model is sure of, go.
+
+    Null and empty texts have no letter and go. Without a labelled document
+    there is no model, and all documents with a letter stay. Repeated rows are
+    each judged; no documents give no documents. Null ids, labels and sources
+    stay as they are, and columns beside those of ``documents`` are not read.
+    """
+    model = fit(docs)
+    read = identify(docs, model, keep=COLUMNS)
+    if model is None:
+        return read.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    chance = 1 / len(model.languages)
+    return read.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= chance + MIN_LIFT * (1 - chance))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
