@@ -65,3 +65,13 @@ def test_no_items(spark):
 def test_bad_items_raise(spark, bad):
     with pytest.raises(Exception, match="bad item"):
         D.check_items(spark.createDataFrame([bad], ITEM)).collect()
+
+
+def test_join_heavy(spark):
+    from brinewell.plans.skew import join_heavy
+
+    rows = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(5000)] + [(None, -1), (77777, -2)], "k long, v long")
+    side = spark.createDataFrame([(k, k * 2, 1 if k != 1 else 3333) for k in range(5000)], "k long, twice long, n long")
+    got = join_heavy(rows, side, ["k"], "n").collect()
+    assert sorted(r.v for r in got) == sorted(r.v for r in rows.collect())
+    assert all(r.twice == (None if r.k in (None, 77777) else r.k * 2) for r in got)
