@@ -16,7 +16,9 @@ Pairs that share a band pass the collision-corrected estimate from the first
 KEPT registers when it is within five standard errors of the threshold, and are
 confirmed on full shingle sets.
 
-Groups of copies are not expanded: equal sets collapse into one representative;
+The nodes of the graph are distinct sets, each named by the first row that has
+it, so an id with several texts has a node for each of them. Groups of copies
+are not expanded: equal sets collapse into one node;
 within a band a star joins its members to the smallest one. Bands that then
 still hold several components are searched for links across them, small ones in
 pairs, large ones in whole blocks that emit only links joining components.
@@ -28,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.llm.text import mix, shingle_set
 from brinewell.operators.components import connected_components
-from brinewell.plans.lineage import cut
+from brinewell.plans.lineage import cut, small
+from brinewell.plans.skew import join_heavy
 
 BANDS, ROWS = 48, 7
 REGISTERS = BANDS * ROWS
@@ -50,7 +53,7 @@ MARGIN = 5.0
 
 _U = np.uint64
 _SIGNATURE = pa.schema([
-    ("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
+    ("row", pa.int64()), ("id", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
     ("classes", pa.list_(pa.int32())), ("sketches", pa.list_(pa.binary())), ("bands", pa.list_(pa.int64())),
 ])
 
@@ -115,15 +118,15 @@ def _signatures(size: int, threshold: float):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch, rows = whole.slice(at, 512), []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for *keys, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                     s = shingle_set(text, size)
                     n = len(s)
                     with np.errstate(over="ignore"):
                         a, b = (mix(s ^ _U(x)).sum(dtype=_U).view(np.int64) for x in (0x1234567, 0x7654321))
                     kinds = size_classes(n, threshold) if n else []
                     sketches = [sketch(s, c) for c in kinds]
-                    keys = [k for c, r in zip(kinds, sketches, strict=True) for k in band_keys(r, c)]
-                    rows.append((key, n, int(a), int(b), kinds, [r[:KEPT].tobytes() for r in sketches], keys))
+                    bands = [k for c, r in zip(kinds, sketches, strict=True) for k in band_keys(r, c)]
+                    rows.append((*keys, n, int(a), int(b), kinds, [r[:KEPT].tobytes() for r in sketches], bands))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), _SIGNATURE, strict=True)], schema=_SIGNATURE)
 
     return run
@@ -178,7 +181,7 @@ def _sets(size: int):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sets = pa.array([shingle_set(t.as_py(), size).tobytes() for t in batch.column("text")], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "whole"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "whole"])
 
     return run
 
@@ -225,7 +228,7 @@ def _across(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for key, low, high, block, i, c, whole in zip(*(batch.column(x).to_pylist() for x in ("key", "low", "high", "block", "id", "component", "whole")), strict=True):
+            for key, low, high, block, i, c, whole in zip(*(batch.column(x).to_pylist() for x in ("key", "low", "high", "block", "node", "component", "whole")), strict=True):
                 if (key, low, high) != now:
                     if rows:
                         yield flush()
@@ -237,47 +240,73 @@ def _across(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)``, one row per row of ``docs``.
+def row_keys(id_col: Column, text: Column) -> list[Column]:
+    """Two 64-bit hashes, ``key_a`` and ``key_b``, by which rows of equal id (or none) and text are told from all others."""
+    return [F.xxhash64(id_col.cast("long"), text.cast("string")).alias("key_a"), F.xxhash64(text.cast("string")).alias("key_b")]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, by_id: bool = True) -> DataFrame:
+    """``(id, key_a, key_b, n_shingles, component_id, kept, first)``, one row per row of ``docs``.
 
     Links join texts with ``100 * intersection >= percent * union`` of their
-    ``size``-word shingle sets; components are named by their smallest id and
-    that document alone is kept. Null and wordless texts have an empty set, are
-    linked with nothing and kept. Repeated ids: each row is returned; rows of
-    one id are one node. Null ids keep a null component and are kept. Other
-    columns, of whatever name, are not read. An empty table gives no rows.
+    ``size``-word shingle sets; components are named by their smallest id, and
+    ``kept`` says that a row has this id. ``first`` holds for exactly one row of
+    each component, whatever its ids; ``key_a`` and ``key_b`` are the
+    :func:`row_keys` by which rows are found again.
+
+    Null and wordless texts have an empty set, are linked with nothing and are
+    kept and first. Repeated ids: each row is returned; with ``by_id`` the rows
+    of one id are one node, whatever their texts, and rows without an id have a
+    null component and are kept; else only texts link, so that ids may repeat
+    or be null. Other columns, of whatever name, are not read. An empty table
+    gives no rows.
     """
     threshold = percent / 100
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n_shingles long, set_a long, set_b long, classes array<int>, sketches array<binary>, bands array<long>"
-    signed = cut(source.mapInArrow(_signatures(size, threshold), schema), "signatures")
-    nodes = signed.select("id", "n_shingles", "set_a", "set_b").where("n_shingles > 0 and id is not null")
-    members = nodes.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"))
-    heads = members.select(F.col("rep").alias("id")).distinct()
-    reps = cut(signed.where("n_shingles > 0").join(heads, "id", "left_semi").select("id", "n_shingles", "classes", "sketches", "bands"), "reps")
-
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").drop("last")
+    id_, text = F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
+    keyed = docs.select(id_, *row_keys(F.col(id_col), F.col(text_col)), text)
+    schema = "row long, id long, key_a long, key_b long, n_shingles long, set_a long, set_b long, classes array<int>, sketches array<binary>, bands array<long>"
+    signed = cut(keyed.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(_signatures(size, threshold), schema), "signatures")
+    nodes = signed.select("row", "id", "n_shingles", "set_a", "set_b").where("n_shingles > 0")
+    nodes = nodes.where("id is not null") if by_id else nodes
+    same_set = ["n_shingles", "set_a", "set_b"]
+    members = cut(nodes.groupBy(*same_set).agg(F.min("row").alias("node"), F.min("id").alias("low"), F.count("*").alias("rows")), "members")
+    reps = signed.join(members.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    reps = cut(reps.select("node", "key_a", "key_b", "n_shingles", "classes", "sketches", "bands"), "reps")
+
+    banded = reps.select("node", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
     rows = cut(banded.join(shared, "key"), "shared_bands")
-    # The texts of sets that share a band are hashed once more and kept; a merge join at every size, as the wanted ids grow with the input.
-    wanted = rows.select("id").distinct()
-    sets = cut(source.hint("merge").join(wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, whole binary"), "sets")
-    stars = rows.where("id > center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    # The texts of sets that share a band are hashed once more and kept; a merge join at every size, as the wanted rows grow with the input.
+    wanted = reps.select("node", "key_a", "key_b").join(rows.select("node").distinct(), "node", "left_semi")
+    texts = keyed.drop("id").hint("merge").join(wanted, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
+    sets = cut(texts.select("node", "text").mapInArrow(_sets(size), "node long, whole binary"), "sets")
+    stars = rows.where("node > center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     links = cut(_check(stars, reps, sets, percent), "links")
-    found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-    more = _open_bands(rows.drop("center"), cut(found, "components"), stars, reps, sets, percent)
-
-    same = nodes.join(members, ["n_shingles", "set_a", "set_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    multi = nodes.groupBy("id").count().where("count > 1").select(F.col("id").alias("a"))
-    # Copies follow their representative directly; the loop runs on representatives alone, and on ids with several texts.
-    final = connected_components(links.union(more).union(same.join(multi, "a", "left_semi")), "a", "b").toDF("rep", "component")
-    return (
-        signed.select("id", "n_shingles", "set_a", "set_b")
-        .join(members, ["n_shingles", "set_a", "set_b"], "left")
-        .join(final, "rep", "left")
-        .select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
-    )
+    found = connected_components(links, "a", "b")
+    links = links.union(_open_bands(rows.drop("center"), cut(found, "components"), stars, reps, sets, percent))
+    if by_id:
+        links = links.union(_several_texts(nodes, members, same_set))
+
+    # Copies follow their node directly; the loop runs on linked nodes alone.
+    final = cut(connected_components(links, "a", "b"), "components")
+    lowest = final.join(members.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least"))
+    named = cut(members.join(final.join(lowest, "component"), "node", "left").select(*same_set, F.coalesce("component", "node").alias("root"), F.coalesce("least", "low").alias("component_id"), "rows"), "named")
+    placed = join_heavy(signed.select("row", "id", "key_a", "key_b", *same_set), named, same_set, "rows")
+    alone = (F.col("n_shingles") == 0) | F.col("root").isNull() | (F.col("id").isNull() if by_id else F.lit(False))
+    component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
+    placed = placed.select("id", "key_a", "key_b", "n_shingles", component.alias("component_id"), F.coalesce(F.col("row") == F.col("root"), F.lit(True)).alias("first"))
+    return placed.select("id", "key_a", "key_b", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "first")
+
+
+def _several_texts(nodes: DataFrame, members: DataFrame, same_set: list[str]) -> DataFrame:
+    """Links ``(a, b)`` between the nodes of each id that has different sets."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in same_set for f in (F.min, F.max)]
+    differ = " or ".join(f"min_{c} <> max_{c}" for c in same_set)
+    several = cut(nodes.groupBy("id").agg(*ends).where(differ).select("id"), "several_texts")
+    pairs = nodes.drop("row").join(small(several), "id").distinct().join(members.drop("low", "rows"), same_set).select("id", "node")
+    pairs = cut(pairs, "id_nodes")
+    first = pairs.groupBy("id").agg(F.min("node").alias("b"))
+    return pairs.join(first, "id").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
 def _open_bands(rows: DataFrame, found: DataFrame, stars: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -287,26 +316,26 @@ def _open_bands(rows: DataFrame, found: DataFrame, stars: DataFrame, reps: DataF
     Larger ones are handed out whole, as block pairs of bounded bytes, and
     emit only links that join components.
     """
-    placed = rows.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n")
     rest = cut(placed.join(several, "key"), "open_bands")
     few = rest.where(F.col("n") <= FEW)
-    left, right = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+    left, right = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
     pairs = left.join(right, "key").where("a > b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     links = _check(pairs, reps, sets, percent)
 
-    many = rest.where(F.col("n") > FEW).join(reps.select("id", "n_shingles"), "id")
+    many = rest.where(F.col("n") > FEW).join(reps.select("node", "n_shingles"), "node")
     blocks = many.groupBy("key").agg(F.ceil(F.sum(F.col("n_shingles") * 8) / BLOCK_BYTES).alias("blocks"))
-    dealt = many.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
+    dealt = many.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    drawn = dealt.join(sets, "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    dealt = dealt.select("key", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    drawn = dealt.join(sets, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return cut(links.union(drawn.mapInArrow(_across(percent), "a long, b long")), "bridges")
 
 
 def _check(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` that pass the estimate and then the full sets."""
-    side = reps.select("id", "n_shingles", "classes", "sketches")
+    side = reps.select("node", "n_shingles", "classes", "sketches")
     drawn = pairs.join(side.toDF("a", "n_a", "classes_a", "sketches_a"), "a").join(side.toDF("b", "n_b", "classes_b", "sketches_b"), "b")
     likely = drawn.mapInArrow(_likely(percent / 100), "a long, b long")
     full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")

@@ -84,7 +84,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80).withColumnRenamed("id", "doc_id")
+    found = near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,21 @@ def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_an_id_with_texts_that_have_different_near_copies(spark):
+    """Links of every text of a repeated id count; without ids, texts alone link and one row of each component is first."""
+    rng = random.Random(3)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(100)] for x in "ab")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (1, " ".join(a)), (None, near(a)), (None, None), (4, "alone here")]
+    rows = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in docs], DOCS)
+    got = {(r.id, r.n_shingles): r for r in N.near_duplicates(rows, size=4).collect()}
+    assert [got[i, 97].component_id for i in (1, 2, 3)] == [1, 1, 1] and not got[2, 97].kept and got[None, 97].kept and got[None, 97].component_id is None
+    out = N.near_duplicates(rows, size=4, by_id=False).collect()
+    firsts = [(r.id, r.n_shingles) for r in out if r.first]
+    assert len(out) == 8 and len(firsts) == 4 and {(None, 0), (4, 1)} < set(firsts)
+    assert sorted(r.component_id for r in out if r.n_shingles == 97) == [1] * 6
+
+
 def test_a_large_exact_group_and_a_long_text(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     docs = [(k, "the same words in every one") for k in range(500)] + [(900, long), (901, long + " end")]
