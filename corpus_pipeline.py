@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brinewell.llm.curriculum import curriculum, training_order
 from brinewell.llm.decontaminate import SLOP, benchmark_matches
 from brinewell.llm.language_id import UNDETERMINED, fit, identify
-from brinewell.llm.near_dedup import near_duplicates
+from brinewell.llm.near_dedup import near_duplicates, row_keys
 from brinewell.llm.pii import mask, personal_data
 from brinewell.plans.lineage import cut, new_path, scratch, small
 
@@ -43,10 +43,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    keyed = docs.withColumn("key", _key())
-    gone = near_duplicates(keyed, "key").where(~F.col("kept")).select(F.col("id").alias("key")).distinct()
-    return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select(*COLUMNS)
+    """One document of each near-duplicate component stays.
+
+    Documents are rows of different id or text: rows that agree in both are one
+    document, and different texts under one id, or without an id, are different
+    ones, linked by their words alone. Null and wordless texts are linked with
+    nothing and stay. No documents give no documents; columns beside those of
+    ``documents`` are not read.
+    """
+    keyed = docs.select(*COLUMNS, *row_keys(F.col("doc_id"), F.col("text"))).dropDuplicates(["key_a", "key_b"])
+    stay = near_duplicates(docs, by_id=False).where("first").select("key_a", "key_b")
+    return keyed.join(stay, ["key_a", "key_b"], "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
