@@ -1,16 +1,25 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the e-mail addresses, IP addresses, card and phone numbers that fixed
-expressions find. Their left contexts (the token before them) are lexical
-patterns. Patterns and identifier-shaped tokens form a bipartite graph that is
-scored in rounds: a pattern is as good as the share of what follows it that is
-known or likely an identifier, over all its occurrences in the corpus; an
-unseen identifier is as likely as the patterns that precede it make it.
-Identifiers with a high score behind a high-scoring pattern become spans.
+expressions find, and, with a lower prior, tokens that look like keys. The
+tokens around an entity are its lexical patterns: the token before it, the two
+before it (so ``key =`` is one), and the token after it. Patterns and
+identifier-shaped tokens form a bipartite graph that is scored in rounds. A
+pattern's score is the share of its occurrences in the corpus that are next to
+an identifier, each weighed by how sure it is one; copies of a page count on
+both sides of that share. An identifier is as likely as the sound patterns
+around it make it. What a round discovers counts as a seed in the next one, so
+patterns that only stand next to discovered identifiers are found too.
+Identifiers next to a sound pattern become spans.
+
+Places are prefix sums over the pieces between matches, made in blocks of
+BLOCK, so the work on a text grows with its length and not with its square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,42 +33,89 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Tokens with a digit or an at sign that could be identifiers, and what parts tokens.
-_TOKEN = r"(?<![^\s\x22'(\[=:])(?=[A-Za-z._@+/-]{0,40}[0-9@])[A-Za-z0-9][A-Za-z0-9._@+/-]{4,}+"
-_PARTS = r"[\s\x22'(\[]++|(?<=[=:])(?=[^\s\x22'(\[])"
-#: Code points before an entity in which its left token is sought.
-_REACH = 80
-
-#: Distinct seeds that a pattern must precede, rounds of scoring, and the scores that patterns and identifiers need.
+#: Stands for base spans where tokens are sought; a private character that is no part of a token.
+_FILL = ""
+#: Characters between tokens; a token also ends after = and :.
+_GAP = r"\s\x22'(\["
+#: Tokens with a digit or an at sign that could be identifiers.
+_TOKEN = rf"(?<![^{_GAP}=:])(?=[A-Za-z._+/-]*+[0-9@])[A-Za-z0-9][A-Za-z0-9._@+/-]{{4,}}+(?!{_FILL})"
+_PARTS = rf"[{_GAP}]++|(?<=[=:])(?=[^{_GAP}])"
+#: The last two tokens of a reversed text, and the first token after the one that an entity ends in.
+_BACK = rf"(?:[=:][^{_GAP}=:]*+|[^{_GAP}=:]++)"
+_LEFT = rf"^[{_GAP}]*+({_BACK})(?:[{_GAP}]*+({_BACK}))?"
+_RIGHT = rf"^[^{_GAP}]*+[{_GAP}]++([^{_GAP}=:]*+[=:]|[^{_GAP}=:]++)"
+#: Tokens that look like keys: so many letters and digits, both among them; how likely they are identifiers by themselves.
+_KEYLIKE, KEY_PRIOR = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/-]{32,}$", 0.75
+
+#: Distinct seeds that a pattern must stand next to, rounds of scoring, and the scores that patterns and identifiers need.
 MIN_SUPPORT, ROUNDS, MIN_PATTERN, MIN_IDENTIFIER = 3, 3, 0.5, 0.5
+BLOCK = 64
 
+_SPAN = "array<struct<start:int,kind:int,end:int,value:string,contexts:array<string>>>"
 
-def _left(before: Column) -> Column:
-    """The last token of a text, in lower case; empty if there is none."""
-    tokens = F.filter(F.split(F.lower(F.substring(before, -_REACH, _REACH)), _PARTS, -1), lambda t: t != "")
-    return F.coalesce(F.try_element_at(tokens, F.lit(-1)), F.lit(""))
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once."""
+    return F.transform(F.array(x), f)[0]
 
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string,left:string>>"
 
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(values, F.array().cast("array<int>"), lambda now, x: F.concat(now, F.array(F.coalesce(op(F.try_element_at(now, F.lit(-1)), x), x))))
+
+
+def _blocks(values: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of each block of BLOCK values and its number, put together."""
+    numbers = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(numbers, lambda b: f(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), b)))
+
+
+def scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Prefix sums, maxima or the like of integers, in two levels of blocks."""
+
+    def join(within: Column) -> Column:
+        tops = _running(_blocks(within, lambda w, b: F.array(F.element_at(w, -1))), op)
+        return _let(tops, lambda t: _blocks(within, lambda w, b: F.when(b == 0, w).otherwise(F.transform(w, lambda x: op(t[b - 1], x)))))
+
+    return _let(values, lambda v: _let(_blocks(v, lambda w, b: _running(w, op)), join))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
 
-def _spans(text: Column, pattern: str, kind: int, needs: Column | None = None) -> Column:
-    """All matches with their places in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(now: Column, x: Column) -> Column:
-        begin = now["at"] + F.length(x["piece"])
-        end = begin + F.length(x["value"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"), _left(x["piece"]).alias("left"))
-        return F.struct(end.alias("at"), F.concat(now["out"], F.array(span)).cast(_SPAN).alias("out"))
+def _contexts(values: Column, pieces: Column, i: Column) -> Column:
+    """The patterns around the i-th match, ``1 token``, ``2 token token`` and ``r token``, in lower case."""
+    no = F.lit("")
+    at = lambda a, k: F.coalesce(F.get(a, k), no)
+    before = F.reverse(F.lower(F.concat(at(values, i - 2), at(pieces, i - 1), at(values, i - 1), at(pieces, i))))
+    after = F.lower(F.concat(at(pieces, i + 1), at(values, i + 1)))
 
-    zipped = F.arrays_zip(found.alias("value"), F.slice(pieces, F.lit(1), F.size(found)).alias("piece"))
-    zipped = F.transform(zipped, lambda z: F.struct(z["value"].alias("value"), z["piece"].alias("piece")))
-    every = F.aggregate(zipped, start, step, lambda now: now["out"])
-    some = F.size(found) > 0
-    return F.when(some if needs is None else needs & some, every).otherwise(F.array().cast(_SPAN))
+    def keys(left: Column) -> Column:
+        one, two = F.reverse(left[0]), F.reverse(left[1])
+        right = F.regexp_extract(after, _RIGHT, 1)
+        named = F.array(F.when(one != "", F.concat(F.lit("1 "), one)), F.when(two != "", F.concat(F.lit("2 "), two, F.lit(" "), one)), F.when(right != "", F.concat(F.lit("r "), right)))
+        return F.array_compact(named)
+
+    return _let(before, lambda b: _let(F.array(F.regexp_extract(b, _LEFT, 1), F.regexp_extract(b, _LEFT, 2)), keys))
+
+
+def _spans(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column] | None = None) -> Column:
+    """All matches that are valid, with their places in code points."""
+
+    def build(values: Column, pieces: Column) -> Column:
+        ends = scan(F.transform(values, lambda v, i: F.length(v) + F.length(pieces[i])), _plus)
+        drop = F.lit(False)
+
+        def span(v: Column, i: Column, e: Column) -> Column:
+            return F.struct((e[i] - F.length(v)).alias("start"), F.lit(kind).alias("kind"), e[i].alias("end"), v.alias("value"), _contexts(values, pieces, i).alias("contexts"))
+
+        ok = (lambda v: F.coalesce(valid(v), drop)) if valid else (lambda v: F.lit(True))
+        return _let(ends, lambda e: F.array_compact(F.transform(values, lambda v, i: F.when(ok(v), span(v, i, e))))).cast(_SPAN)
+
+    none = F.array().cast(_SPAN)
+    some = (lambda m: F.exists(m, valid)) if valid else (lambda m: F.size(m) > 0)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(found, lambda m: F.when(F.coalesce(some(m), F.lit(False)), _let(F.split(text, pattern, -1), lambda p: build(m, p))).otherwise(none))
 
 
 def _luhn(digits: Column) -> Column:
@@ -89,39 +145,107 @@ def _valid_phone(m: Column) -> Column:
     return F.length(F.regexp_replace(m, "[^0-9]", "")).between(10, 15)
 
 
-def base_spans(text: Column) -> Column:
-    """The spans of the fixed expressions by kind, those that fail their check left out."""
-    groups = (
-        _spans(text, _EMAIL, 0, F.contains(text, F.lit("@"))),
-        F.filter(_spans(text, _IP, 1, F.contains(text, F.lit("."))), lambda s: _valid_ip(s["value"])),
-        F.filter(_spans(text, _CARD, 2), lambda s: _valid_card(s["value"])),
-        F.filter(_spans(text, _PHONE, 3, F.contains(text, F.lit("+"))), lambda s: _valid_phone(s["value"])),
-    )
-    return F.concat(*groups)
+def base_spans(text: Column) -> list[Column]:
+    """The spans of each fixed expression, those that fail their check left out."""
+    none = F.array().cast(_SPAN)
+    return [
+        F.when(F.contains(text, F.lit("@")), _spans(text, _EMAIL, 0)).otherwise(none),
+        F.when(F.contains(text, F.lit(".")), _spans(text, _IP, 1, _valid_ip)).otherwise(none),
+        _spans(text, _CARD, 2, _valid_card),
+        F.when(F.contains(text, F.lit("+")), _spans(text, _PHONE, 3, _valid_phone)).otherwise(none),
+    ]
+
+
+def _runs(spans: Column) -> Column:
+    """Runs ``(start, kind, end)`` of overlapping spans, which are sorted by start; a run has the kind of its first span."""
+
+    def build(s: Column, top: Column) -> Column:
+        last = F.size(s) - 1
+        heads = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (s[i]["start"] >= F.get(top, i - 1)))
+        return _let(heads, lambda h: F.transform(h, lambda i, j: F.struct(s[i]["start"].alias("start"), s[i]["kind"].alias("kind"), top[F.coalesce(F.get(h, j + 1) - 1, last)].alias("end"))))
 
+    return _let(spans, lambda s: _let(scan(F.transform(s, lambda x: x["end"]), F.greatest), lambda top: build(s, top)))
 
-def _score(edges: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scores ``(left, score)`` and ``(value, chance)`` of the pattern-instance graph.
 
-    ``edges``: distinct ``(left, value, seed, n)``, n the number of occurrences.
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """``text`` with each run of spans replaced; a block of runs is cut out of the text before its runs are."""
+
+    def block(runs: Column, rs: Column, b: Column) -> Column:
+        base = F.when(b == 0, F.lit(0)).otherwise(F.get(runs, b * BLOCK - 1)["end"])
+
+        def pieces(at: Column, part: Column) -> Column:
+            return F.transform(rs, lambda r, i: _let(F.when(i == 0, at).otherwise(F.get(rs, i - 1)["end"]), lambda e: F.concat(F.substring(part, e - at + 1, r["start"] - e), by(r))))
+
+        return _let(base, lambda at: _let(F.substring(text, at + 1, F.element_at(rs, -1)["end"] - at), lambda part: pieces(at, part)))
+
+    def whole(runs: Column) -> Column:
+        return F.concat(F.array_join(_blocks(runs, lambda rs, b: block(runs, rs, b)), ""), F.substring(text, F.element_at(runs, -1)["end"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, _let(_runs(spans), whole)).otherwise(text)
+
+
+def mask(text: Column, spans: Column) -> Column:
+    """``text`` with each span, or run of overlapping spans, replaced by its kind in angle brackets; ``spans`` are sorted by start."""
+    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    return _replaced(text, spans, lambda r: names[r["kind"]])
+
+
+def _totals(text: Column, docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(key, total)``: how often each pattern's tokens occur in all texts, one after the other where there are two."""
+    words = F.filter(F.split(F.lower(text), _PARTS, -1), lambda w: w != "")
+    pairs = docs.select(words.alias("w")).select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("token"), F.get("w", i - 1).alias("prior")))).alias("s")).select("s.*")
+    ended = keys.select("key", F.substring("key", 1, 1).alias("shape"), F.substring_index("key", " ", -1).alias("token"))
+    met = (F.col("shape") == "1") | (F.col("prior").isNotNull() & ((F.col("shape") == "r") | (F.col("key") == F.concat(F.lit("2 "), "prior", F.lit(" "), "token"))))
+    return pairs.join(small(ended), "token").where(met).groupBy("key").agg(F.count("*").alias("total"))
+
+
+def discover(occurrences: DataFrame, docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame] | None:
+    """Sound patterns ``(key, score)`` and identifiers ``(value, chance)``; None where no pattern has support.
+
+    ``occurrences``: ``(value, prior, contexts)``, one row for each occurrence
+    of a seed (prior over 0) or of another token that could be an identifier.
     """
-    known = edges.select("value", F.col("seed").cast("double").alias("chance")).groupBy("value").agg(F.max("chance").alias("chance"))
-    patterns = None
+    apart = occurrences.select("value", "prior", F.explode("contexts").alias("key"))
+    seeds = cut(apart.where("prior > 0").groupBy("key", "value").agg(F.max("prior").alias("prior"), F.count("*").alias("n")), "seed_edges")
+    others = apart.where("prior = 0").select("key", "value")
+    patterns = known = totals = None
     for _ in range(ROUNDS):
-        sums = edges.join(known, "value").groupBy("left").agg(F.sum("chance").alias("good"), F.count("*").alias("kinds"), F.sum("n").alias("n"))
-        patterns = sums.join(totals, "left").select("left", (F.col("good") / (F.col("kinds") + F.greatest(F.lit(0), F.col("total") - F.col("n")))).alias("score"))
+        strong, weak = seeds, others
+        if known is not None:
+            fresh = small(known)
+            more = others.join(fresh, "value").groupBy("key", "value").agg(F.max("chance").alias("prior"), F.count("*").alias("n"))
+            strong = seeds.join(fresh, "value", "left").select("key", "value", F.greatest("prior", "chance").alias("prior"), "n").union(more.select("key", "value", "prior", "n"))
+            weak = others.join(fresh, "value", "left_anti").select("key", "value")
+        strong = cut(strong, "strong_edges")
+        backed = cut(strong.groupBy("key").agg(F.count("*").alias("kinds"), F.min("prior").alias("least")).where(F.col("kinds") >= MIN_SUPPORT), "backed")
+        unsure = weak.join(small(backed.select("key")), "key").groupBy("key", "value").agg(F.count("*").alias("n"))
+        edges = cut(strong.join(small(backed.select("key")), "key").select("key", "value", "prior", "n").union(unsure.select("key", "value", F.lit(0.0), "n")), "edges")
+        # Patterns that stand next to sure seeds alone can discover nothing and needn't be scored.
+        keys = cut(edges.where("prior < 1").select("key").distinct(), "keys")
+        new = keys if totals is None else cut(keys.join(totals, "key", "left_anti"), "new_keys")
+        if not new.isEmpty():
+            more = _totals(text, docs, new)
+            totals = cut(more if totals is None else totals.union(more), "totals")
+        if totals is None:
+            return None
+        sums = edges.join(small(keys), "key").groupBy("key").agg(F.sum(F.col("prior") * F.col("n")).alias("good"), F.sum("n").alias("n"))
+        scores = sums.join(totals, "key").select("key", (F.col("good") / F.greatest("total", "n")).alias("score"))
+        patterns = cut(scores.where(F.col("score") >= MIN_PATTERN), "patterns")
         doubt = F.sum(F.log1p(-F.least("score", F.lit(0.999))))
-        heard = edges.join(patterns, "left").groupBy("value").agg((1 - F.exp(doubt)).alias("heard"), F.max("seed").alias("seed"))
-        known = cut(heard.select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("heard")).alias("chance")), "identifiers")
-    return cut(patterns, "patterns"), known
+        heard = edges.where("prior < 1").join(small(patterns), "key").groupBy("value").agg((1 - F.exp(doubt)).alias("heard"), F.max("prior").alias("prior"))
+        known = cut(heard.select("value", F.greatest("heard", "prior").alias("chance")).where(F.col("chance") >= MIN_IDENTIFIER), "identifiers")
+        if known.isEmpty():
+            break
+    return patterns, known
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, base, spans)``, one row per row of ``docs``.
 
-    ``base`` and ``spans`` are arrays of ``(start, kind, end, value, left)``,
+    ``base`` and ``spans`` are arrays of ``(start, kind, end, value, contexts)``,
     in code points, end exclusive, kind an index of KINDS, sorted by start then
-    kind; ``spans`` holds the base spans and those that the patterns discover.
+    kind; ``spans`` holds the base spans and those that the patterns discover,
+    which overlap none of them.
 
     Null texts count as empty. Repeated rows and ids, null ids included, each
     give their row. An empty table gives no rows. Other columns, of whatever
@@ -129,44 +253,29 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
-    scanned = source.select("row", "id", base_spans(F.col("text")).alias("base"), _spans(F.col("text"), _TOKEN, 4).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    by_place = F.array_sort(F.col("base"))
-    scanned = cut(scanned.select("row", "id", by_place.alias("base"), free.alias("tokens")), "scanned")
-
-    occurrences = scanned.select(F.explode("base").alias("s"), F.lit(True).alias("seed")).union(scanned.select(F.explode("tokens").alias("s"), F.lit(False).alias("seed")))
-    edges = occurrences.select("s.left", F.lower("s.value").alias("value"), "seed").where("left <> ''").groupBy("left", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    edges = cut(edges, "edges")
-    supported = cut(edges.groupBy("left").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("unseen")).where((F.col("seeds") >= MIN_SUPPORT) & (F.col("unseen") > 0)).select("left"), "supported")
-    # Patterns that precede nothing unseen can discover nothing and needn't be scored.
-    words = docs.select(F.explode(F.split(F.lower(text), _PARTS, -1)).alias("left"))
-    totals = cut(words.join(small(supported), "left").groupBy("left").agg(F.count("*").alias("total")), "totals")
-    patterns, known = _score(edges.join(supported, "left"), totals)
-
-    fresh = scanned.select("row", F.explode("tokens").alias("s")).withColumns({"left": F.col("s.left"), "value": F.lower("s.value")})
-    fresh = fresh.join(patterns.where(F.col("score") >= MIN_PATTERN), "left").join(known.where(F.col("chance") >= MIN_IDENTIFIER), "value")
-    found = fresh.groupBy("row").agg(F.collect_list("s").alias("more"))
+    kinds = base_spans(F.col("text"))
+    scanned = source.select("*", *(k.alias(f"kind{i}") for i, k in enumerate(kinds)))
+    scanned = scanned.select("row", "id", "text", F.array_sort(F.concat(*(f"kind{i}" for i in range(4)))).alias("base"))
+    scanned = scanned.withColumn("rest", _replaced(F.col("text"), F.col("base"), lambda r: F.repeat(F.lit(_FILL), r["end"] - r["start"])))
+    scanned = cut(scanned.select("row", "id", "base", _spans(F.col("rest"), _TOKEN, 4).alias("tokens")), "scanned")
+
+    def occurrences(spans: str, prior: Column) -> DataFrame:
+        return scanned.select(F.explode(spans).alias("s")).select(F.lower("s.value").alias("value"), prior.alias("prior"), "s.contexts")
+
+    keylike = F.when(F.col("value").rlike(_KEYLIKE), KEY_PRIOR).otherwise(0.0)
+    every = occurrences("base", F.lit(1.0)).union(occurrences("tokens", F.lit(0.0)).withColumn("prior", keylike))
+    found = discover(every, docs, text)
+    if found is None:
+        return scanned.select("id", "base", F.col("base").alias("spans"))
+    patterns, known = found
+    fresh = scanned.select("row", F.explode("tokens").alias("s")).select("row", "s", F.lower("s.value").alias("value"), F.explode("s.contexts").alias("key"))
+    fresh = fresh.join(small(patterns), "key").join(small(known), "value")
+    more = fresh.groupBy("row").agg(F.array_distinct(F.collect_list("s")).alias("more"))
     both = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
-    return scanned.join(found, "row", "left").select("id", "base", both.alias("spans"))
+    return scanned.select("row", "id", "base").join(more, "row", "left").select("id", "base", both.alias("spans"))
 
 
 def span_list(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
-def mask(text: Column, spans: Column) -> Column:
-    """``text`` with each span, or run of overlapping spans, replaced by its kind in angle brackets."""
-    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(now: Column, s: Column) -> Column:
-        between = F.substring(text, now["at"] + 1, s["start"] - now["at"])
-        fresh = F.concat(now["out"], between, names[s["kind"]])
-        return F.struct(F.greatest(now["at"], s["end"]).alias("at"), F.when(s["start"] < now["at"], now["out"]).otherwise(fresh).alias("out"))
-
-    def finish(now: Column) -> Column:
-        return F.concat(now["out"], F.substring(text, now["at"] + 1, F.length(text)))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)

@@ -47,6 +47,36 @@ def test_contexts_of_seeds_discover_unseen_identifiers(spark):
     assert got[9][1] == "" and got[10][1] == ""
 
 
+def test_every_shape_of_pattern_discovers(spark):
+    """Two tokens (``key =``), the token after, a label that is itself a token with a digit, and keys of letters and digits."""
+    keys = [f'x token = "{random.Random(k).getrandbits(160):040x}" y' for k in range(4)]
+    texts = [*keys, 'say token = "hunter2x" now', "a = b and c = d", "token ring", *(f"{k}k5@mail.org wrote: hi" for k in range(4)), "then acct-9921 wrote: hi", *(f"acct2:u{k}@m.org" for k in range(4)), "acct2:X93847", f"commit {0xABC1 << 140:x}0 pushed"]
+    got = found(spark, texts)
+    plain = [[texts[k][int(a) : int(b)] for _, a, b in (x.split(":") for x in got[k][1].split(",") if x)] for k in range(len(texts))]
+    assert [x[0] for x in plain[:4]] == [t[11:51] for t in keys]
+    assert plain[4] == ["hunter2x"] and plain[5] == plain[6] == [] and plain[11] == ["acct-9921"] and plain[16] == ["X93847"] and plain[17] == []
+
+
+def test_what_is_discovered_discovers_more(spark):
+    """A pattern that stands next to discovered identifiers only is found in the next round."""
+    texts = [f"reach: m{k}@mail.org end" for k in range(4)] + [f"reach: badge-{k}7 end" for k in range(3)] + [f"holder badge-{k}7 left" for k in range(3)] + ["holder badge-97 left", "other badge-87 left"]
+    got = found(spark, texts)
+    assert got[10][1] == "id:7:15" and got[5][1] == "id:7:15"
+
+
+def test_long_texts_cost_in_proportion(spark):
+    """A megabyte of identifier tokens, of base spans, and their masks."""
+    import time
+
+    texts = ["key5x " * 170_000, "a@b.co " * 150_000, "é +1 (988) 555-2485 " * 50_000]
+    began = time.perf_counter()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.personal_data(df).select(F.col("id").alias("doc_id"), "spans")
+    got = df.join(rows, "doc_id").select("doc_id", F.size("spans").alias("n"), pii.mask(F.col("text"), F.col("spans")).alias("m")).orderBy("doc_id").collect()
+    assert [r.n for r in got] == [0, 150_000, 50_000] and got[1].m == "<EMAIL> " * 150_000 and got[2].m == "é <PHONE> " * 50_000
+    assert time.perf_counter() - began < 90
+
+
 def test_repeated_rows_empty_tables_and_masks(spark):
     df = spark.createDataFrame([(1, "é a@b.c +1 (988) 555-2485."), (1, "é a@b.c +1 (988) 555-2485."), (None, None)], "doc_id long, text string")
     rows = pii.personal_data(df)
