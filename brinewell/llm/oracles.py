@@ -34,7 +34,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 OP3 = rf"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{_WORD}')) END AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0') AS rank FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{_WORD}')) END AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':0') AS rank FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS kind FROM d GROUP BY source),
 t AS (SELECT *, CAST([5, 2, 1][kind + 1] AS HUGEINT) AS weight FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY source_size / CAST(weight AS DOUBLE), source NULLS LAST) AS place FROM t),

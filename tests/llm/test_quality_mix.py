@@ -127,12 +127,25 @@ def test_mix_of_nothing(spark):
 def test_schedules_shift_sources_in_time(spark):
     """Early training holds more of the source whose weight falls than late training does."""
     rows = [(k, "w " * 10, "ab"[k % 2], 1, "x", 2, 3, 0.5) for k in range(2000)]
-    order = M.training_order(spark.createDataFrame(rows, "doc_id long, text string, source string, size int, rank string, bucket int, base int, position double"), mixed(spark, rows)).collect()
+    order = M.training_order(spark.createDataFrame(rows, "doc_id long, text string, source string, size int, rank string, bucket int, base int, position double")).collect()
+    assert len(order) == sum(r.copies for r in mixed(spark, rows).collect()) and order[0].asDict().keys() == {"doc_id", "text", "source", "size", "rank", "bucket", "base", "copy", "position"}
     assert [r.position for r in order] == sorted(r.position for r in order)
     head, tail = order[: len(order) // 4], order[-len(order) // 4 :]
     assert sum(r.source == "a" for r in head) / len(head) > sum(r.source == "a" for r in tail) / len(tail) + 0.1
 
 
+def test_rows_without_ids_and_repeated_rows_are_spread(spark):
+    """Null ids lie in as many buckets as others; rows that agree in all are taken one by one and come out once each."""
+    rows = [(None, f"text {k} here", "a", 1, "x", 2, 3, 0.5) for k in range(3000)] + [(7, "the same row", "b", 1, "x", 2, 3, 0.5)] * 900 + [(7, "another", "b", 1, "x", 2, 3, 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, rank string, bucket int, base int, position double")
+    got = M.curriculum(df).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got if r.source == "a") == pytest.approx(got[0].target if got[0].source == "a" else 11_000, rel=0.5)
+    ranks = {r.bucket for r in df.select(F.substring(M._rank("doc_id", "text", 0), 1, 2).alias("bucket")).collect()}
+    assert len(ranks) > 200
+    order = M.training_order(df)
+    assert order.count() == sum(r.copies for r in got) and order.where("source = 'b'").select("text", "copy").distinct().count() == order.where("source = 'b'").count()
+
+
 def test_inverse_schedule(spark):
     for knots in (*M.SCHEDULES, ((0.0, 0.0), (0.3, 2.0), (0.5, 0.5), (1.0, 0.5))):
 

@@ -64,5 +64,21 @@ def test_pipeline(spark):
         else:
             assert docs.columns == [*P.COLUMNS, "copy", "position"] and len(after) > len(before)
     clash = spark.createDataFrame([(None, "some words of plain english text", None, None, None, 1, 2, 3), (1, None, None, None, None, 1, 2, 3)], "doc_id long, text string, lang string, source string, n_chars long, key int, copy int, position int")
-    for _, stage in P.STAGES[1:]:
+    for _, stage in P.STAGES:
         assert stage(spark, clash, SF).count() in (1, 2, 4) and stage(spark, clash.limit(0), SF).count() == 0
+
+
+def test_stages_tell_texts_of_one_id_apart(spark):
+    """One id with two texts, exact repeats, null ids, a null text: what is told apart stays, what is the same is one document."""
+    rng = __import__("random").Random(1)
+    text = lambda: " ".join(f"word{rng.randrange(10**5)}" for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (None, c), (None, d), (None, d), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id or 0, r.text) for r in P.near_dedup(spark, docs, SF).where("text is not null").collect())[:2] in ([(0, x), (0, y)] for x, y in ([c, d], [d, c]))
+    left = [r.text for r in P.near_dedup(spark, docs, SF).collect()]
+    assert len(left) == 5 and {a, c, d, None} < set(left)
+    assert P.language(spark, docs, SF).count() == 7 and P.language(spark, docs.withColumn("lang", docs.source.substr(9, 1).cast("string")), SF).count() == 7
+    assert P.decontaminate(spark, docs, SF).count() == P.pii(spark, docs, SF).count() == 8
+    mixed = P.mix(spark, docs, SF).collect()
+    assert {r.text for r in mixed} <= {a, b, c, d, b + " end"} and len(mixed) >= 7
