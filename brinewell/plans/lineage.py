@@ -15,8 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Broadcast bound: rows of a side that may be sent to every executor.
-BROADCAST_ROWS = 200_000
+#: Broadcast bounds: rows, and bytes of their text form, of a side that may be sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _LOCAL: dict[str, str] = {}
 _MADE: list[str] = []
@@ -71,10 +71,12 @@ def drop_table(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else ``df`` for a shuffled join.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, else ``df`` for a shuffled join.
 
-    The row count is measured on the data at hand, so the hint can never ship a
-    side that has grown past the bound.
+    Both are measured on the data at hand, so the hint can never ship a side
+    that has grown past a bound. The plan of ``df`` is run for that; a side that
+    costs more than a scan should be cut first.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    held = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))).alias("b")).first()
+    return F.broadcast(df) if held.n <= rows and (held.b or 0) <= size else df

@@ -1,16 +1,16 @@
 """The corpus pipeline: stages that each apply one operator to what the stage before kept.
 
-Rows are told apart by document id, a row without one by its text; rows that
-agree in that are one document from the near-duplicate stage on. The SQL of the
-whole is None: language identification is a trained network.
+Rows are told apart by id and text; rows that agree in both are one document
+from the near-duplicate stage on. The SQL of the whole is None: language
+identification is a trained network.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewell.llm.curriculum import curriculum, training_order
+from brinewell.llm.curriculum import training_order
 from brinewell.llm.decontaminate import SLOP, benchmark_matches
 from brinewell.llm.language_id import UNDETERMINED, fit, identify
 from brinewell.llm.near_dedup import near_duplicates, row_keys
@@ -22,10 +22,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LIFT = 1 / 15
 
 
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language that the model is sure of, go.
 
@@ -51,31 +47,48 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing and stay. No documents give no documents; columns beside those of
     ``documents`` are not read.
     """
-    keyed = docs.select(*COLUMNS, *row_keys(F.col("doc_id"), F.col("text"))).dropDuplicates(["key_a", "key_b"])
+    keyed = docs.select(*COLUMNS, *row_keys(F.col("doc_id"), F.col("text")))
     stay = near_duplicates(docs, by_id=False).where("first").select("key_a", "key_b")
-    return keyed.join(stay, ["key_a", "key_b"], "left_semi").select(*COLUMNS)
+    return keyed.join(stay, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of the benchmark go, and those with the rarest words of one close together."""
-    keyed = docs.withColumn("key", _key())
-    found = benchmark_matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key", slop=SLOP)
-    gone = cut(found.where((F.size("hits") > 0) | (F.size("near_items") > 0)).select(F.col("id").alias("key")), "contaminated")
-    return keyed.join(small(gone), "key", "left_anti").select(*COLUMNS)
+    """Documents with a window of the benchmark go, and those with the rarest words of one close together.
+
+    Null and empty texts have no words and stay; an empty benchmark matches
+    nothing. Rows of equal text share their fate, whatever their ids, null ones
+    too. No documents give no documents; columns beside those of ``documents``
+    are not read.
+    """
+    hashes = row_keys(F.lit(None), F.col("text"))[1].alias("key")
+    found = benchmark_matches(docs.select(hashes, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key", slop=SLOP)
+    gone = cut(found.where((F.size("hits") > 0) | (F.size("near_items") > 0)).select(F.col("id").alias("key")).distinct(), "contaminated")
+    return docs.select(*COLUMNS, hashes).join(small(gone), "key", "left_anti").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind."""
-    keyed = docs.withColumn("key", _key())
-    spans = cut(personal_data(keyed, "key").where(F.size("spans") > 0).select(F.col("id").alias("key"), "spans"), "spans")
-    masked = keyed.join(small(spans), "key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("spans"))))
+    """Personal data are replaced by their kind, and ``n_chars`` of a changed text is its new length.
+
+    Null and empty texts stay as they are. Every row stays; rows of equal text
+    are changed alike, whatever their ids, null ones too. No documents give no
+    documents; columns beside those of ``documents`` are not read.
+    """
+    hashes = row_keys(F.lit(None), F.col("text"))[1].alias("key")
+    found = personal_data(docs.select(hashes, "text"), "key").where(F.size("spans") > 0).select(F.col("id").alias("key"), F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("spans"))
+    spans = cut(found.groupBy("key").agg(F.min("spans").alias("spans")), "spans")
+    masked = docs.select(*COLUMNS, hashes).join(small(spans), "key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("spans"))))
     return masked.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, range-sorted by training position; with copy and position."""
-    keyed = docs.withColumn("key", _key())
-    return training_order(keyed, curriculum(keyed, "key"), "key").select(*COLUMNS, "copy", "position")
+    """Documents as often as the mix takes them, range-sorted by training position; with ``copy`` and ``position``.
+
+    Rows of different id or text are told apart; those that agree in both, and
+    in their source, are taken once each, as they stand. Null and empty texts
+    have no words. A null source is one of its own. No documents give none;
+    columns beside those of ``documents`` are not read.
+    """
+    return training_order(docs.select(*COLUMNS))
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("mix", mix)]
