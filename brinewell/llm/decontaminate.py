@@ -1,33 +1,43 @@
-"""Benchmark decontamination by a positional inverted index over the training documents.
+"""Benchmark decontamination by a distributed positional inverted index over the training documents.
 
-The index is partitioned by document: a row holds one document's posting lists
-for the test vocabulary, written once to the shared folder, so building and
-querying it needs no shuffle of tokens. Corpus document frequencies of the test
-terms come from the stored lists. Each window (phrase) is then looked up from
-its rarest term: its positions, less the term's offset, are candidate starts,
-which are intersected with the offset-adjusted lists of the other terms from
-rare to common.
+The index is made once, of all words of all documents, and stored. It is
+partitioned by document, as search engines shard theirs: a row is a shard of
+some thousand documents with its sorted terms and, for each term, the list of
+its positions in the shard, so building and reading it needs no shuffle of
+words. Documents lie GAP positions apart, so nothing matches across them.
+
+A window (phrase) of a benchmark item is looked up from its rarest term by the
+corpus' document frequencies: that term's positions, less its offset, are the
+candidate starts, which are intersected with the offset-adjusted lists of the
+other terms from rare to common. Windows with a term that a shard lacks are
+passed over there.
 
 Benchmark items are taken in blocks of at most BLOCK_WORDS words, which bounds
-what is sent to the executors; every block is matched against all documents.
+what is sent to the executors; each block reads the stored index, not the
+documents. Terms are 64-bit hashes of words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brinewell.llm.text import word_hashes
 from brinewell.plans.lineage import cut
 
 WINDOW = 10
-#: Words of benchmark text that one pass takes.
-BLOCK_WORDS = 200_000
-#: Candidate starts of one document that are held at a time, about; all are tried.
+#: Words of benchmark text that one pass over the index takes.
+BLOCK_WORDS = 1_000_000
+#: Words of a shard, about; a longer document is a shard of its own.
+SHARD_WORDS = 1 << 17
+#: Free positions between the documents of a shard; windows and slop may not exceed it.
+GAP = 256
+#: Candidate starts of one shard that are held at a time, about; all are tried.
 CANDIDATES = 500_000
 #: Rarest terms of a window that make a proximity match, and words within which they lie, in production.
 NEAR_TERMS = 4
@@ -36,9 +46,12 @@ SLOP = 12
 #: Bytes that are no part of a word, once A-Z is lower-cased, become spaces.
 _BLANK = bytes(32 if b < 0x30 or 0x3A <= b < 0x61 or 0x7B <= b < 0x80 else b for b in range(256))
 
-_POSTINGS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
+#: Of each document its row, id, words and first position; of each term its hash, documents, occurrences and positions, one list after the other.
+_LISTS = ("rows", "ids", "known", "n_words", "bases", "terms", "documents", "counts", "positions")
+_TYPES = dict(zip(_LISTS, (np.int64, np.int64, np.bool_, np.int64, np.int64, np.uint64, np.int32, np.int32, np.int32)))
+INDEX = ", ".join(f"{c} binary" for c in _LISTS)
+_INDEX = pa.schema([(c, pa.binary()) for c in _LISTS])
 _MATCHES = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
-POSTINGS = "row long, id long, n_words long, terms array<int>, counts array<int>, positions array<int>"
 MATCHES = "row long, id long, n_words long, hits array<int>, items array<string>, near_items array<string>"
 
 
@@ -47,33 +60,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of items, as arrays."""
+    """The distinct windows of a block of items, as arrays; terms are places in ``vocabulary``, sorted hashes."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
-        self.vocabulary: dict[bytes, int] = {}
+        hashes = word_hashes([w for _, words in items for w in words])
+        self.vocabulary, ids = np.unique(hashes, return_inverse=True)
         found: dict[tuple[int, ...], set[str]] = {}
+        first = 0
         for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            k = min(size, len(ids))
-            for at in range(len(ids) - k + 1 if k else 0):
-                found.setdefault(tuple(ids[at : at + k]), set()).add(item)
+            own = ids[first : first + len(words)].tolist()
+            first += len(words)
+            k = min(size, len(own))
+            for at in range(len(own) - k + 1 if k else 0):
+                found.setdefault(tuple(own[at : at + k]), set()).add(item)
         self.items = [sorted(x) for x in found.values()]
         self.length = np.array([len(x) for x in found], np.int64)
-        self.terms = np.full((len(found), size), -2, np.int64)
+        self.terms = np.full((len(found), size), -1, np.int32)
         for i, x in enumerate(found):
             self.terms[i, : len(x)] = x
 
     def rank(self, frequency: np.ndarray) -> None:
         """Order each window's offsets from its rarest term on, and list the windows by that term."""
         cost = np.where(self.terms >= 0, frequency[self.terms], np.iinfo(np.int64).max)
-        self.order = np.argsort(cost, axis=1, kind="stable")
-        self.anchor = np.take_along_axis(self.terms, self.order[:, :1], 1)[:, 0]
-        self.by_anchor = np.argsort(self.anchor, kind="stable")
-        self.first = np.searchsorted(self.anchor[self.by_anchor], np.arange(len(self.vocabulary) + 1))
+        self.order = np.argsort(cost, axis=1, kind="stable").astype(np.int16)
+        self.ranked = np.take_along_axis(self.terms, self.order, 1)
+        self.by_anchor = np.argsort(self.ranked[:, 0], kind="stable")
+        self.first = np.searchsorted(self.ranked[self.by_anchor, 0], np.arange(len(self.vocabulary) + 1))
 
     def rank_near(self) -> None:
         """After ``rank``: the distinct sets of rarest terms, listed by the rarest one, and the items of each."""
-        rare = np.take_along_axis(self.terms, self.order[:, :NEAR_TERMS], 1)
+        rare = self.ranked[:, :NEAR_TERMS]
         self.rare, of = np.unique(np.where(rare < 0, rare[:, :1], rare), axis=0, return_inverse=True)
         items: list[set[str]] = [set() for _ in self.rare]
         for own, k in zip(self.items, of.ravel().tolist(), strict=True):
@@ -95,130 +111,172 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield block
 
 
-def _index(vocabulary):
+def _invert(docs: list[tuple[int, int | None, list[bytes]]]) -> list[bytes]:
+    """One shard of the index."""
+    n_words = np.array([len(w) for *_, w in docs], np.int64)
+    bases = np.cumsum(n_words + GAP) - n_words - GAP
+    hashes = word_hashes([w for *_, words in docs for w in words])
+    places = np.repeat(bases - np.cumsum(n_words) + n_words, n_words) + np.arange(len(hashes))
+    order = np.argsort(hashes, kind="stable")
+    positions = places[order]
+    terms, first, counts = np.unique(hashes[order], return_index=True, return_counts=True)
+    doc = np.searchsorted(bases, positions, "right") - 1
+    fresh = np.ones(len(doc), np.int64)
+    fresh[1:] = doc[1:] != doc[:-1]
+    fresh[first] = 1
+    documents = np.add.reduceat(fresh, first) if len(first) else fresh
+    lists = ([r for r, *_ in docs], [i or 0 for _, i, _ in docs], [i is not None for _, i, _ in docs], n_words, bases, terms, documents, counts, positions)
+    return [np.asarray(x).astype(t).tobytes() for x, t in zip(lists, _TYPES.values(), strict=True)]
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held, size = [], 0
+        for k in range(batch.num_rows):
+            words = words_of(batch.column(2)[k].as_py())
+            held.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), words))
+            size += len(words) + GAP
+            if size > SHARD_WORDS or k == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _invert(held)], schema=_INDEX)
+                held, size = [], 0
+
+
+def _lists(batch: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(batch.column(c)[k].as_buffer(), _TYPES[c]) for c in batch.schema.names}
+
+
+def _frequencies(vocabulary):
+    """``(term, n)`` of the terms that are asked for: documents of a shard that have them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.value.get
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                n_words, terms, counts, positions = [], [], [], []
-                for text in batch.column(2):
-                    words = words_of(text.as_py())
-                    ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                    where = np.flatnonzero(ids >= 0)
-                    where = where[np.argsort(ids[where], kind="stable")]
-                    own, n = np.unique(ids[where], return_counts=True)
-                    n_words.append(len(words))
-                    terms.append(own)
-                    counts.append(n.astype(np.int32))
-                    positions.append(where.astype(np.int32))
-                cols = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (terms, counts, positions))]
-                yield pa.RecordBatch.from_arrays(cols, schema=_POSTINGS)
+        own = vocabulary.value
+        sums = np.zeros(len(own), np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard = _lists(batch, k)
+                at = np.minimum(np.searchsorted(own, shard["terms"]), len(own) - 1)
+                met = own[at] == shard["terms"]
+                sums[at[met]] += shard["documents"][met]
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["term", "n"])
 
     return run
 
 
-def _phrases(w: Windows, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and windows of all exact matches in one document."""
-    term_at = np.full(n_words, -1, np.int64)
-    term_at[positions] = np.repeat(terms, np.diff(ends))
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    drawn: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-
-    def intersect() -> None:
-        """Hold the candidates drawn so far against the lists of the other terms, from rare to common."""
-        start, window = (np.concatenate(x) for x in zip(*drawn, strict=True))
-        for k in range(1, w.terms.shape[1]):
-            if not len(start):
-                break
-            offset = w.order[window, k]
-            over = w.length[window] <= k
-            keep = over | (term_at[np.where(over, 0, start + offset)] == w.terms[window, offset])
-            start, window = start[keep], window[keep]
-        out.append((start, window))
-        drawn.clear()
-
-    for i in np.flatnonzero(w.first[terms + 1] > w.first[terms]):
-        anchored, own_positions = w.by_anchor[w.first[terms[i]] : w.first[terms[i] + 1]], positions[ends[i] : ends[i + 1], None]
-        step = max(1, CANDIDATES // len(own_positions))
-        for first in range(0, len(anchored), step):
-            own = anchored[first : first + step]
-            at = own_positions - w.order[own, 0]
-            ok = (at >= 0) & (at + w.length[own] <= n_words)
-            drawn.append((at[ok], np.broadcast_to(own, at.shape)[ok]))
-            held += at.size
-            if held > CANDIDATES:
-                intersect()
-                held = 0
-    if drawn:
-        intersect()
-    start, window = (np.concatenate(x) for x in zip(*out, strict=True))
-    return start, window
-
-
-def _near(w: Windows, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, n_words: int, slop: int) -> np.ndarray:
-    """Sets of rarest terms (rows of ``w.rare``) that all occur within ``slop`` words of one document, in any order."""
-    slot_of = np.full(len(w.vocabulary), -1, np.int64)
-    slot_of[terms] = np.arange(len(terms))
-    runs = w.rare_first[terms + 1] - w.rare_first[terms]
-    own = np.repeat(w.rare_first[terms] - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
-    slots = slot_of[w.rare[own]]
-    held = (slots >= 0).all(1)
-    own, slots = own[held], slots[held]
-    # Positions of all terms as one sorted list; no search for a term reaches the next term's positions.
-    stride = n_words + slop + 1
-    keys = np.append(np.repeat(np.arange(len(terms)), np.diff(ends)) * stride + positions, np.iinfo(np.int64).max)
-
-    def within(slot: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return keys[np.searchsorted(keys, slot * stride + low)] < slot * stride + high
-
-    found = []
-    count = np.diff(ends)[slots[:, 0]]
-    part = np.cumsum(count) // CANDIDATES
-    for first, last in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right")), strict=True):
-        n = count[first:last]
-        of = np.repeat(np.arange(first, last), n)
-        p = positions[np.repeat(ends[slots[first:last, 0]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        for k in range(1, slots.shape[1]):  # each other term on either side of the rarest one
-            keep = within(slots[of, k], np.maximum(p - slop + 1, 0), p + slop)
-            of, p = of[keep], p[keep]
-        for back in range(slop):  # then all terms in one stretch that holds it
-            if not len(of):
-                break
-            low = np.maximum(p - back, 0)
-            ok = np.ones(len(of), bool)
+class _Shard:
+    """One shard's posting lists as far as they hold terms of ``windows``."""
+
+    def __init__(self, windows: Windows, lists: dict[str, np.ndarray]):
+        self.docs = lists
+        at = np.minimum(np.searchsorted(windows.vocabulary, lists["terms"]), len(windows.vocabulary) - 1)
+        self.own = np.flatnonzero(windows.vocabulary[at] == lists["terms"])
+        self.terms = at[self.own]
+        ends = np.cumsum(lists["counts"].astype(np.int64))
+        self.count = lists["counts"][self.own].astype(np.int64)
+        self.start = ends[self.own] - self.count
+        self.slot = np.full(len(windows.vocabulary), -1, np.int64)
+        self.slot[self.terms] = np.arange(len(self.terms))
+        # The lists of these terms as one sorted list of numbers, so that many lists are searched at once.
+        self.stride = int(lists["bases"][-1] + lists["n_words"][-1]) + 2 * GAP
+        self.first = np.cumsum(self.count) - self.count
+        self.positions = lists["positions"][self._ranges(self.start, self.count)].astype(np.int64)
+        self.keys = np.append(np.repeat(np.arange(len(self.terms)), self.count) * self.stride + self.positions, np.iinfo(np.int64).max)
+
+    @staticmethod
+    def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+    def drawn(self, slots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For lists, in parts of about CANDIDATES positions: the place in ``slots`` and the position of each."""
+        count = self.count[slots]
+        part = np.cumsum(count) // CANDIDATES
+        for k in np.unique(part):
+            a, b = np.searchsorted(part, k, "left"), np.searchsorted(part, k, "right")
+            yield np.repeat(np.arange(a, b), count[a:b]), self.positions[self._ranges(self.first[slots[a:b]], count[a:b])]
+
+    def within(self, slots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each list has a position from ``low`` (not negative) to below ``high``."""
+        return self.keys[np.searchsorted(self.keys, slots * self.stride + low)] < slots * self.stride + high
+
+    def document(self, positions: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.docs["bases"], positions, "right") - 1
+
+    def phrases(self, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and windows of all exact matches."""
+        runs = w.first[self.terms + 1] - w.first[self.terms]
+        windows = w.by_anchor[self._ranges(w.first[self.terms], runs)]
+        slots = np.where(w.ranked[windows] >= 0, self.slot[w.ranked[windows]], np.iinfo(np.int64).max)
+        windows, slots = windows[(slots >= 0).all(1)], slots[(slots >= 0).all(1)]
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for of, position in self.drawn(slots[:, 0]):
+            begin = position - w.order[windows[of], 0]
+            of, begin = of[begin >= 0], begin[begin >= 0]
             for k in range(1, slots.shape[1]):
-                ok &= within(slots[of, k], low, low + slop)
-            found.append(np.unique(of[ok]))
-            rest = ~np.isin(of, found[-1])
-            of, p = of[rest], p[rest]
-    return own[np.concatenate(found)] if found else own[:0]
+                if not len(of):
+                    break
+                over = w.length[windows[of]] <= k
+                at = begin + w.order[windows[of], k]
+                keep = over | self.within(np.where(over, 0, slots[of, k]), at, at + 1)
+                of, begin = of[keep], begin[keep]
+            out.append((begin, windows[of]))
+        begin, window = (np.concatenate(x) for x in zip(*out, strict=True))
+        return begin, window
+
+    def near(self, w: Windows, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and sets of rarest terms (rows of ``w.rare``) that all occur within ``slop`` words of it, in any order."""
+        runs = w.rare_first[self.terms + 1] - w.rare_first[self.terms]
+        own = self._ranges(w.rare_first[self.terms], runs)
+        slots = self.slot[w.rare[own]]
+        own, slots = own[(slots >= 0).all(1)], slots[(slots >= 0).all(1)]
+        n = len(self.docs["bases"])
+        found = [np.empty(0, np.int64)]
+        for of, p in self.drawn(slots[:, 0]):
+            for k in range(1, slots.shape[1]):  # each other term on either side of the rarest one
+                keep = self.within(slots[of, k], np.maximum(p - slop + 1, 0), p + slop)
+                of, p = of[keep], p[keep]
+            for back in range(slop):  # then all terms in one stretch that holds it
+                if not len(of):
+                    break
+                low = np.maximum(p - back, 0)
+                ok = np.ones(len(of), bool)
+                for k in range(1, slots.shape[1]):
+                    ok &= self.within(slots[of, k], low, low + slop)
+                pair = of * n + self.document(p)
+                found.append(np.unique(pair[ok]))
+                rest = ~np.isin(pair, found[-1])
+                of, p = of[rest], p[rest]
+        pairs = np.unique(np.concatenate(found))
+        return pairs % n, own[pairs // n]
+
+
+def _grouped(docs: np.ndarray, values: np.ndarray, names: list[list[str]], n: int) -> list[list[str]]:
+    """For each document the sorted names of its values."""
+    out: list[set[str]] = [set() for _ in range(n)]
+    for d, v in zip(docs.tolist(), values.tolist(), strict=True):
+        out[d].update(names[v])
+    return [sorted(x) for x in out]
 
 
 def _match(windows, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = windows.value
         for batch in batches:
-            hits, items, near = [], [], []
-            for n, terms, counts, positions in zip(*(batch.column(k) for k in (2, 3, 4, 5)), strict=True):
-                terms = np.asarray(terms.values).astype(np.int64)
-                if not len(terms):
-                    hits.append([])
-                    items.append([])
-                    near.append([])
-                    continue
-                ends = np.concatenate(([0], np.cumsum(np.asarray(counts.values))))
-                positions = np.asarray(positions.values).astype(np.int64)
-                start, window = _phrases(w, terms, ends, positions, n.as_py())
-                hit = np.zeros(n.as_py() + 1, np.int64)
-                np.add.at(hit, start, 1)
-                np.add.at(hit, start + w.length[window], -1)
-                hits.append(np.flatnonzero(np.cumsum(hit)).astype(np.int32))
-                items.append(sorted({y for x in np.unique(window) for y in w.items[x]}))
-                near.append(sorted({y for x in _near(w, terms, ends, positions, n.as_py(), slop) for y in w.rare_items[x]}) if slop else [])
-            cols = [batch.column(k) for k in range(3)] + [pa.array(x, t) for x, t in ((hits, pa.list_(pa.int32())), (items, pa.list_(pa.string())), (near, pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays(cols, schema=_MATCHES)
+            for k in range(batch.num_rows):
+                lists = _lists(batch, k)
+                shard, n, bases = _Shard(w, lists), len(lists["rows"]), lists["bases"]
+                begin, window = shard.phrases(w)
+                hit = np.zeros(shard.stride + 1, np.int32)
+                np.add.at(hit, begin, 1)
+                np.add.at(hit, begin + w.length[window], -1)
+                places = np.flatnonzero(np.cumsum(hit))
+                doc = shard.document(places)
+                hits = np.split((places - bases[doc]).astype(np.int32), np.searchsorted(doc, np.arange(1, n)))
+                pairs = np.unique(np.stack([shard.document(begin), window]), axis=1)
+                items = _grouped(pairs[0], pairs[1], w.items, n)
+                near = _grouped(*shard.near(w, slop), w.rare_items, n) if slop else [[]] * n
+                cols = [pa.array(lists["rows"]), pa.array(lists["ids"], mask=~lists["known"]), pa.array(lists["n_words"])]
+                cols += [pa.array(hits, pa.list_(pa.int32())), *(pa.array(x, pa.list_(pa.string())) for x in (items, near))]
+                yield pa.RecordBatch.from_arrays(cols, schema=_MATCHES)
 
     return run
 
@@ -230,32 +288,38 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     ``window`` consecutive words of an item (all its words if it has fewer).
     ``items``: sorted ids, as strings, of items with an occurring window.
     ``near_items``: with ``slop`` over 0, items with a window whose rarest
-    NEAR_TERMS terms occur within ``slop`` words in any order.
+    NEAR_TERMS terms occur within ``slop`` words in any order; rare is what few
+    documents have, of equal terms the first in the window.
 
     Words are runs of 0-9, A-Z (lower-cased), a-z and non-ASCII characters.
     Null texts have no words; items with a null id or without words are no
     items; items that share an id count as one; an empty benchmark hits
     nothing. Repeated rows and ids each give their row; other columns, of
-    whatever name, are not read.
+    whatever name, are not read. An empty table gives no rows.
     """
+    if max(window, slop) > GAP:
+        raise ValueError(f"window and slop may not exceed {GAP}")
     spark = docs.sparkSession
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    index = cut(source.mapInArrow(_index, INDEX), "index")
     out = None
-    for block in _blocks(benchmark, item_col, item_text_col):
+    several = False
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    for block in chain([next(blocks, [])], blocks):
         w = Windows(block, window)
-        index = cut(source.mapInArrow(_index(spark.sparkContext.broadcast(w.vocabulary)), POSTINGS), "postings")
-        frequency = np.zeros(len(w.vocabulary) + 1, np.int64)
-        for term, n in index.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # a row for each test term at most
+        if not len(w.vocabulary):
+            w.vocabulary = np.zeros(1, np.uint64)
+        counted = index.select("terms", "documents").mapInArrow(_frequencies(spark.sparkContext.broadcast(w.vocabulary)), "term long, n long")
+        frequency = np.zeros(len(w.vocabulary), np.int64)
+        for term, n in counted.groupBy("term").agg(F.sum("n")).collect():  # a row for each test term at most
             frequency[term] = n
         w.rank(frequency)
         if slop:
             w.rank_near()
         found = index.mapInArrow(_match(spark.sparkContext.broadcast(w), slop), MATCHES)
-        out = found if out is None else out.union(found)
-        several = out is not found
-    if out is None:
-        out = source.select("row", "id", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).cast("long").alias("n_words"), *(F.array().cast(f"array<{t}>").alias(c) for c, t in (("hits", "int"), ("items", "string"), ("near_items", "string"))))
-    elif several:
+        some = (F.size("hits") > 0) | (F.size("near_items") > 0)
+        out, several = (found, False) if out is None else (out.union(found.where(some)), True)
+    if several:
         merge = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items", "near_items")]
         out = out.groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), *merge)
     return out.drop("row")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brinewell.llm.decontaminate import NEAR_TERMS, SLOP
 from brinewell.llm.quality import ALPHA, CUTOFFS, DELTA, PRICE, RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -57,14 +58,25 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 OP4 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '{_ITEM_WORD}'), []) AS words FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format('text')}, '{_ITEM_WORD}') AS words FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-win AS (SELECT DISTINCT item, n, array_to_string(words[p : p + n - 1], ' ') AS gram FROM (SELECT item, words, least(10, len(words)) AS n, unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS p FROM i WHERE len(words) > 0)),
+win AS (SELECT DISTINCT item, n, words[p : p + n - 1] AS ws, array_to_string(ws, ' ') AS gram FROM (SELECT item, words, least(10, len(words)) AS n, unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS p FROM i WHERE len(words) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
 pos AS (SELECT r, words, n, unnest(generate_series(1, len(words) - n + 1)) AS p FROM d CROSS JOIN sizes WHERE len(words) >= n),
 hit AS (SELECT r, p, pos.n, item FROM pos JOIN win ON win.n = pos.n AND win.gram = array_to_string(words[p : p + pos.n - 1], ' ')),
 covered AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM hit) GROUP BY r),
-items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM hit GROUP BY r)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM hit GROUP BY r),
+spot AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS q FROM d),
+held AS (SELECT word, r, list(q) AS qs FROM spot WHERE word IN (SELECT unnest(words) FROM i) GROUP BY ALL),
+df AS (SELECT word, count(*) AS n FROM held GROUP BY word),
+spelt AS (SELECT item, gram, o, ws[o] AS word FROM (SELECT item, gram, ws, unnest(generate_series(1, n)) AS o FROM win)),
+ranked AS (SELECT item, gram, word, row_number() OVER (PARTITION BY item, gram ORDER BY coalesce(df.n, 0), o) AS k FROM spelt LEFT JOIN df USING (word)),
+sets AS (SELECT item, list_sort(list(DISTINCT word)) AS terms, arg_min(word, k) AS rarest FROM ranked WHERE k <= {NEAR_TERMS} GROUP BY item, gram),
+kinds AS (SELECT DISTINCT terms, rarest FROM sets),
+both_in AS (SELECT terms, r FROM (SELECT terms, unnest(terms) AS word FROM (SELECT DISTINCT terms FROM kinds)) JOIN held USING (word) GROUP BY terms, r HAVING count(*) = len(terms)),
+start AS (SELECT DISTINCT k.terms, k.r, unnest(generate_series(greatest(q - {SLOP - 1}, 1), q)) AS s FROM (SELECT b.terms, b.r, unnest(h.qs) AS q FROM both_in b JOIN kinds USING (terms) JOIN held h ON h.word = rarest AND h.r = b.r) k),
+near AS (SELECT DISTINCT s.terms, s.r FROM (SELECT terms, r, s, unnest(terms) AS word FROM start) s JOIN held h ON h.word = s.word AND h.r = s.r WHERE len(list_filter(h.qs, lambda q: q >= s.s AND q < s.s + {SLOP})) > 0 GROUP BY s.terms, s.r, s.s HAVING count(*) = len(s.terms)),
+found AS (SELECT r, count(DISTINCT item) AS n_near, string_agg(DISTINCT item, ',' ORDER BY item) AS near_list FROM near JOIN sets USING (terms) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near_items, coalesce(near_list, '') AS near_items FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r) LEFT JOIN found USING (r)
 """
 
 

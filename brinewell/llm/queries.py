@@ -42,20 +42,14 @@ def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
 
 
-def _matched() -> list:
-    n_hit = F.size("hits").cast("long")
-    return [F.col("id").alias("doc_id"), F.col("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")]
-
-
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select(*_matched())
-
-
-def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op4_decontaminate, whose SQL fixes them, and the items found by proximity, exact matches among them."""
+    """With the items found by proximity, exact matches among them, as more columns."""
     found = benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=SLOP)
-    return found.select(*_matched(), F.size("near_items").cast("long").alias("n_near_items"), F.array_join("near_items", ",").alias("near_items"))
+    n_hit = F.size("hits").cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"), F.array_join("near_items", ",").alias("near_items"),
+    )
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +93,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_quality_rules, op2_pii, op3_curriculum, op4_decontaminate, op4_proximity, op5_chat_format, op6_license_scan, op7_language_id, op8_near_dedup, op9_html_text, op10_warc)
+    own = (op1_quality_rules, op2_pii, op3_curriculum, op4_decontaminate, op5_chat_format, op6_license_scan, op7_language_id, op8_near_dedup, op9_html_text, op10_warc)
     return {f.__name__: f for f in own}
 
 

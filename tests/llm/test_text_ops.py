@@ -106,6 +106,7 @@ def naive(docs, items, size=10):
 def test_matches_are_those_of_brute_force(spark, monkeypatch, block, held):
     monkeypatch.setattr(D, "BLOCK_WORDS", block)
     monkeypatch.setattr(D, "CANDIDATES", held)
+    monkeypatch.setattr(D, "SHARD_WORDS", 2000 * held)
     rng = random.Random(4)
     word = lambda: rng.choice(["the", "of", "a", "É", "x1", "rare", "q"])
     items = [(k, " ".join(word() for _ in range(rng.randrange(1, 16)))) for k in range(12)] + [(12, None), (13, ""), (None, "the of"), (3, "Q-Q-q"), (14, "the " * 11)]
@@ -114,6 +115,8 @@ def test_matches_are_those_of_brute_force(spark, monkeypatch, block, held):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(((r.id, r.n_words, list(r.hits), list(r.items)) for r in D.benchmark_matches(frame, bench).collect()), key=repr)
     assert got == naive(docs, items)
+    dealt = D.benchmark_matches(frame.repartition(7, "text"), bench)  # blocks meet by rows of an input that comes out of a shuffle
+    assert sorted(((r.id, r.n_words, list(r.hits), list(r.items)) for r in dealt.collect()), key=repr) == got
     assert D.benchmark_matches(frame.limit(0), bench).count() == 0
     assert {(r.n_words > 0, len(r.hits)) for r in D.benchmark_matches(frame, bench.limit(0)).collect()} == {(True, 0), (False, 0)}
 
@@ -133,7 +136,7 @@ def test_proximity_query_finds_swapped_words(spark, tmp_path):
     swapped = [w for k in range(0, 30, 6) for w in (words[k + 1], words[k], *words[k + 2 : k + 6])]
     spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, " ".join(swapped)), (2, " x ".join(words)), (3, " ".join(words)), (4, "w1 " + "x " * 40 + "w2")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_items, r.near_items) for r in Q.queries()["op4_proximity"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_items, r.near_items) for r in Q.queries()["op4_decontaminate"](spark, str(tmp_path)).collect()}
     assert got == {1: (0, "7"), 2: (0, "7"), 3: (1, "7"), 4: (0, "")}
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
     assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [4]
