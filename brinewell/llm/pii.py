@@ -12,8 +12,8 @@ around it make it. What a round discovers counts as a seed in the next one, so
 patterns that only stand next to discovered identifiers are found too.
 Identifiers next to a sound pattern become spans.
 
-Places are prefix sums over the pieces between matches, made in blocks of
-BLOCK, so the work on a text grows with its length and not with its square.
+Places are prefix sums over the pieces between matches, made in blocks, so the
+work on a text grows with its length and not with its square.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinewell.functions.arrays import let, replaced, scan, sums
 from brinewell.plans.lineage import cut, small
 
 #: Kinds in the order in which spans at one place are listed.
@@ -49,40 +50,10 @@ _KEYLIKE, KEY_PRIOR = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/-]{32,}$", 0.75
 
 #: Distinct seeds that a pattern must stand next to, rounds of scoring, and the scores that patterns and identifiers need.
 MIN_SUPPORT, ROUNDS, MIN_PATTERN, MIN_IDENTIFIER = 3, 3, 0.5, 0.5
-BLOCK = 64
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string,contexts:array<string>>>"
 
 
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(x)`` with ``x`` evaluated once."""
-    return F.transform(F.array(x), f)[0]
-
-
-def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    return F.aggregate(values, F.array().cast("array<int>"), lambda now, x: F.concat(now, F.array(F.coalesce(op(F.try_element_at(now, F.lit(-1)), x), x))))
-
-
-def _blocks(values: Column, f: Callable[[Column, Column], Column]) -> Column:
-    """``f`` of each block of BLOCK values and its number, put together."""
-    numbers = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(numbers, lambda b: f(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), b)))
-
-
-def scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """Prefix sums, maxima or the like of integers, in two levels of blocks."""
-
-    def join(within: Column) -> Column:
-        tops = _running(_blocks(within, lambda w, b: F.array(F.element_at(w, -1))), op)
-        return _let(tops, lambda t: _blocks(within, lambda w, b: F.when(b == 0, w).otherwise(F.transform(w, lambda x: op(t[b - 1], x)))))
-
-    return _let(values, lambda v: _let(_blocks(v, lambda w, b: _running(w, op)), join))
-
-
-def _plus(a: Column, b: Column) -> Column:
-    return a + b
-
-
 def _contexts(values: Column, pieces: Column, i: Column) -> Column:
     """The patterns around the i-th match, ``1 token``, ``2 token token`` and ``r token``, in lower case."""
     no = F.lit("")
@@ -96,26 +67,26 @@ def _contexts(values: Column, pieces: Column, i: Column) -> Column:
         named = F.array(F.when(one != "", F.concat(F.lit("1 "), one)), F.when(two != "", F.concat(F.lit("2 "), two, F.lit(" "), one)), F.when(right != "", F.concat(F.lit("r "), right)))
         return F.array_compact(named)
 
-    return _let(before, lambda b: _let(F.array(F.regexp_extract(b, _LEFT, 1), F.regexp_extract(b, _LEFT, 2)), keys))
+    return let(before, lambda b: let(F.array(F.regexp_extract(b, _LEFT, 1), F.regexp_extract(b, _LEFT, 2)), keys))
 
 
 def _spans(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column] | None = None) -> Column:
     """All matches that are valid, with their places in code points."""
 
     def build(values: Column, pieces: Column) -> Column:
-        ends = scan(F.transform(values, lambda v, i: F.length(v) + F.length(pieces[i])), _plus)
+        ends = sums(F.transform(values, lambda v, i: F.length(v) + F.length(pieces[i])))
         drop = F.lit(False)
 
         def span(v: Column, i: Column, e: Column) -> Column:
             return F.struct((e[i] - F.length(v)).alias("start"), F.lit(kind).alias("kind"), e[i].alias("end"), v.alias("value"), _contexts(values, pieces, i).alias("contexts"))
 
         ok = (lambda v: F.coalesce(valid(v), drop)) if valid else (lambda v: F.lit(True))
-        return _let(ends, lambda e: F.array_compact(F.transform(values, lambda v, i: F.when(ok(v), span(v, i, e))))).cast(_SPAN)
+        return let(ends, lambda e: F.array_compact(F.transform(values, lambda v, i: F.when(ok(v), span(v, i, e))))).cast(_SPAN)
 
     none = F.array().cast(_SPAN)
     some = (lambda m: F.exists(m, valid)) if valid else (lambda m: F.size(m) > 0)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return _let(found, lambda m: F.when(F.coalesce(some(m), F.lit(False)), _let(F.split(text, pattern, -1), lambda p: build(m, p))).otherwise(none))
+    return let(found, lambda m: F.when(F.coalesce(some(m), F.lit(False)), let(F.split(text, pattern, -1), lambda p: build(m, p))).otherwise(none))
 
 
 def _luhn(digits: Column) -> Column:
@@ -162,32 +133,16 @@ def _runs(spans: Column) -> Column:
     def build(s: Column, top: Column) -> Column:
         last = F.size(s) - 1
         heads = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (s[i]["start"] >= F.get(top, i - 1)))
-        return _let(heads, lambda h: F.transform(h, lambda i, j: F.struct(s[i]["start"].alias("start"), s[i]["kind"].alias("kind"), top[F.coalesce(F.get(h, j + 1) - 1, last)].alias("end"))))
-
-    return _let(spans, lambda s: _let(scan(F.transform(s, lambda x: x["end"]), F.greatest), lambda top: build(s, top)))
-
-
-def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
-    """``text`` with each run of spans replaced; a block of runs is cut out of the text before its runs are."""
-
-    def block(runs: Column, rs: Column, b: Column) -> Column:
-        base = F.when(b == 0, F.lit(0)).otherwise(F.get(runs, b * BLOCK - 1)["end"])
-
-        def pieces(at: Column, part: Column) -> Column:
-            return F.transform(rs, lambda r, i: _let(F.when(i == 0, at).otherwise(F.get(rs, i - 1)["end"]), lambda e: F.concat(F.substring(part, e - at + 1, r["start"] - e), by(r))))
-
-        return _let(base, lambda at: _let(F.substring(text, at + 1, F.element_at(rs, -1)["end"] - at), lambda part: pieces(at, part)))
-
-    def whole(runs: Column) -> Column:
-        return F.concat(F.array_join(_blocks(runs, lambda rs, b: block(runs, rs, b)), ""), F.substring(text, F.element_at(runs, -1)["end"] + 1, F.length(text)))
+        return let(heads, lambda h: F.transform(h, lambda i, j: F.struct(s[i]["start"].alias("start"), s[i]["kind"].alias("kind"), top[F.coalesce(F.get(h, j + 1) - 1, last)].alias("end"))))
 
-    return F.when(F.size(spans) > 0, _let(_runs(spans), whole)).otherwise(text)
+    some = let(spans, lambda s: let(scan(F.transform(s, lambda x: x["end"]), F.greatest), lambda top: build(s, top)))
+    return F.when(F.size(spans) > 0, some).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
 def mask(text: Column, spans: Column) -> Column:
     """``text`` with each span, or run of overlapping spans, replaced by its kind in angle brackets; ``spans`` are sorted by start."""
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    return _replaced(text, spans, lambda r: names[r["kind"]])
+    return replaced(text, _runs(spans), lambda r: names[r["kind"]])
 
 
 def _totals(text: Column, docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -256,7 +211,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kinds = base_spans(F.col("text"))
     scanned = source.select("*", *(k.alias(f"kind{i}") for i, k in enumerate(kinds)))
     scanned = scanned.select("row", "id", "text", F.array_sort(F.concat(*(f"kind{i}" for i in range(4)))).alias("base"))
-    scanned = scanned.withColumn("rest", _replaced(F.col("text"), F.col("base"), lambda r: F.repeat(F.lit(_FILL), r["end"] - r["start"])))
+    scanned = scanned.withColumn("rest", replaced(F.col("text"), _runs(F.col("base")), lambda r: F.repeat(F.lit(_FILL), r["end"] - r["start"])))
     scanned = cut(scanned.select("row", "id", "base", _spans(F.col("rest"), _TOKEN, 4).alias("tokens")), "scanned")
 
     def occurrences(spans: str, prior: Column) -> DataFrame:

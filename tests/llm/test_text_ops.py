@@ -170,12 +170,12 @@ def test_chats_round_trip(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", "tool|", "a|>\nb", None]), None if rng.random() < 0.05 else "".join(rng.choice(nasty) or "" for _ in range(rng.randrange(8)))) for c in range(40) for t in range(rng.randrange(1, 9))]
     rows += [(50, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for t in range(1500)] + [(51, None, "assistant", "last"), (51, 3, "user", "first"), (51, 3, "user", "first"), (None, 0, "assistant", "x")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, seq int, kind string")
-    out = {r.conv_id: r for r in chat.format_chats(chat.events_from_turns(df)).select("*", chat.parse_chat(F.col("formatted")).alias("turns"), F.transform("segments", lambda s: F.struct(s["trained"], chat.unescape(s["text"]))).alias("plain")).collect()}
+    out = {r.conv_id: r for r in chat.format_chats(chat.events_from_turns(df)).select("*", chat.parse_chat(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("plain")).collect()}
     for c in {r[0] for r in rows}:
         own = sorted(((t is None, t or 0, r or "", x or "") for k, t, r, x in rows if k == c), key=lambda r: (r[0], r[1], r[2].encode(), r[3].encode()))
         assert [(t.role, t.text) for t in out[c].turns] == [(r, x) for *_, r, x in own]
-        assert "".join(s.text for s in out[c].segments) == out[c].formatted
-        assert [s[1] for s in out[c].plain if s[0]] == [x for *_, r, x in own if r == "assistant"]
+        assert out[c].plain == "".join(x for *_, r, x in own if r == "assistant") and len(out[c].loss) == sum(r == "assistant" for *_, r, _ in own)
+        assert all(out[c].formatted[: s.start].endswith("<|assistant|>\n") for s in out[c].loss) and all(out[c].formatted[s.end :].startswith("<|end|>\n") for s in out[c].loss)
         assert out[c].formatted.count("<|") == 2 * len(own) and "</s>" not in out[c].formatted and "[INST]" not in out[c].formatted
     assert chat.format_chats(chat.events_from_turns(df.limit(0))).count() == 0
 
@@ -183,4 +183,8 @@ def test_chats_round_trip(spark):
 def test_events_are_folded(spark):
     log = [(1, 0, 0, 0, "message", "user", "hi"), (1, 1, 1, 3, "delta", None, "lo"), (1, 1, 1, 2, "delta", None, "hel"), (1, 1, 1, 1, "message", "assistant", None), (1, 2, 2, 0, "message", "assistant", "bad"), (1, 2, 2, 2, "delta", None, "good"), (1, 2, 2, 1, "regenerate", None, ""), (1, 3, 3, 0, "message", "user", "old"), (1, 3, 3, 1, "edit", None, "new")]
     got = chat.fold_events(spark.createDataFrame(log, "conv_id long, turn long, message long, seq long, kind string, role string, text string")).orderBy("turn").collect()
+    made = chat.events_from_turns(spark.createDataFrame([(1, 0, "user", "abcdef"), (1, 1, "assistant", "uvwxyz12")], "conv_id long, turn long, role string, text string"))
+    kinds = {(r.turn, r.kind) for r in made.collect()}
+    assert {(0, "message"), (0, "edit"), (1, "message"), (1, "delta"), (1, "regenerate")} == kinds and made.where("turn = 0").agg(F.max("seq")).first()[0] > made.where("turn = 1").agg(F.min("seq")).first()[0]
+    assert [(r.role, r.text) for r in chat.fold_events(made).orderBy("turn").collect()] == [("user", "abcdef"), ("assistant", "uvwxyz12")]
     assert [(r.role, r.text) for r in got] == [("user", "hi"), ("assistant", "hello"), ("assistant", "good"), ("user", "new")]
