@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from brinewell.llm.decontaminate import NEAR_TERMS, SLOP
+from brinewell.llm.licenses import MIN_COSINE, QUOTED, TERM, TRIGGER, template_rows
 from brinewell.llm.quality import ALPHA, CUTOFFS, DELTA, PRICE, RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -118,24 +119,25 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 
 
 
-def _op6() -> str:
-    from brinewell.llm.licenses import MIN_COSINE, TERM, TRIGGER, _vectors
+_TEMPLATES = ", ".join(f"('{a}', {k}, '{t}')" for a, k, t in template_rows())
+_TERMS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 
-    rows, unknown = _vectors()
-    terms = ", ".join(f"('{a}', {k}, '{t}', {i!r}::DOUBLE, {p!r}::DOUBLE)" for a, k, t, i, p in rows)
-    return rf"""
-WITH terms(license, template, term, idf, part) AS (VALUES {terms}),
-idf AS (SELECT DISTINCT term, idf FROM terms),
-f AS (SELECT doc_id AS row, doc_id, coalesce(text, '') AS text, coalesce(length(text) < 400 AND contains(lower(text), 'licen'), false) AS is_license,
-  list_filter(string_split(coalesce(source, '') || '/' || CAST(doc_id // 100 AS VARCHAR), '/'), lambda x: x <> '') AS parts FROM documents),
-u AS (SELECT row, unnest(list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{TRIGGER}')), CASE WHEN is_license THEN [text] ELSE [] END)) AS text FROM f WHERE regexp_matches(text, '{TRIGGER}')),
-v AS (SELECT row_number() OVER () AS unit, * FROM u),
-n AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM v) GROUP BY ALL),
-w AS (SELECT unit, term, n * coalesce(idf, {unknown!r}::DOUBLE) AS weight FROM n LEFT JOIN idf USING (term)),
+OP6 = rf"""
+WITH tpl(license, template, text) AS (VALUES {_TEMPLATES}),
+tt AS (SELECT license, template, term, count(*) AS n FROM (SELECT license, template, unnest({_TERMS}) AS term FROM (SELECT *, regexp_extract_all(text, '{TERM}') AS w FROM tpl)) GROUP BY ALL),
+f AS (SELECT doc_id AS row, doc_id, coalesce(text, '') AS text, coalesce(contains(lower(string_split(text, chr(10))[-1]), 'licen'), false) AS is_license,
+  list_filter(string_split(coalesce(source, '') || '/' || CAST(doc_id // 100 AS VARCHAR), '/'), lambda x: x <> '') AS parts, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls FROM documents),
+u AS (SELECT DISTINCT row, text FROM (SELECT row, unnest(list_concat(list_concat(list_filter(ls, lambda x: regexp_matches(x, '{TRIGGER}')), list_transform(list_filter(range(1, len(ls)), lambda i: regexp_matches(ls[i], '{TRIGGER}')), lambda i: ls[i] || ' ' || ls[i + 1])), CASE WHEN is_license THEN [text] ELSE [] END)) AS text FROM f WHERE regexp_matches(text, '{TRIGGER}'))),
+v AS (SELECT text, row_number() OVER () AS unit FROM (SELECT DISTINCT text FROM u)),
+n AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest({_TERMS}) AS term FROM (SELECT unit, regexp_extract_all(lower(text), '{TERM}') AS w FROM v)) GROUP BY ALL),
+idf AS (SELECT term, ln((1.0e0 + (SELECT count(*) FROM v) + (SELECT count(*) FROM tpl)) / (1 + count(*))) + 1 AS idf FROM (SELECT term FROM n UNION ALL SELECT term FROM tt) GROUP BY term),
+w AS (SELECT unit, term, n * idf AS weight FROM n JOIN idf USING (term)),
 norms AS (SELECT unit, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY unit),
-dots AS (SELECT unit, license, sum(weight * part) AS dot FROM w JOIN terms USING (term) GROUP BY unit, license, template),
-scored AS (SELECT row, license, round(dot / norm, 4) AS cosine FROM dots JOIN norms USING (unit) JOIN v USING (unit)),
-own AS (SELECT row, min({{'low': -cosine, 'license': license}}) AS own FROM scored WHERE cosine >= {MIN_COSINE}e0 GROUP BY row),
+tw AS (SELECT license, template, term, n * idf AS part FROM tt JOIN idf USING (term)),
+tn AS (SELECT license, template, sqrt(sum(part * part)) AS norm FROM tw GROUP BY ALL),
+dots AS (SELECT unit, license, sum(weight * part) / any_value(tn.norm) AS dot FROM w JOIN tw USING (term) JOIN tn USING (license, template) GROUP BY unit, license, template),
+scored AS (SELECT unit, license, round(max(dot) / any_value(norm), 4) AS cosine FROM dots JOIN norms USING (unit) GROUP BY unit, license),
+own AS (SELECT row, min({{'quoted': license = '{QUOTED}', 'low': -cosine, 'license': license}}) AS own FROM scored JOIN v USING (unit) JOIN u USING (text) WHERE cosine >= {MIN_COSINE}e0 GROUP BY row),
 d AS (SELECT f.*, array_to_string(parts, '/') AS dir, own FROM f LEFT JOIN own USING (row)),
 holders AS (SELECT dir, min(own) AS held FROM d WHERE is_license AND own IS NOT NULL GROUP BY dir),
 above AS (SELECT leaf, k, array_to_string(parts[1:k], '/') AS dir FROM (SELECT DISTINCT dir AS leaf, parts, unnest(generate_series(0, len(parts))) AS k FROM d)),
@@ -145,4 +147,4 @@ SELECT doc_id, coalesce(own.license, held.license) AS license, coalesce(-own.low
 """
 
 
-ORACLES = {"op1_quality_rules": OP1, "op3_curriculum": OP3, "op4_decontaminate": OP4, "op5_chat_format": OP5, "op6_license_scan": _op6(), "op8_near_dedup": OP8, "op10_warc": OP10}
+ORACLES = {"op1_quality_rules": OP1, "op3_curriculum": OP3, "op4_decontaminate": OP4, "op5_chat_format": OP5, "op6_license_scan": OP6, "op8_near_dedup": OP8, "op10_warc": OP10}

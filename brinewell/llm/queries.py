@@ -63,9 +63,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` have no paths: a document lies in source/<doc_id / 100>, and one of under 400 code points that says "licen" is its licence file."""
+    """``documents`` have no paths: a document lies in source/<doc_id / 100>, and one whose last line says "licen" is its licence file."""
     docs = _table(spark, sf_dir, "documents")
-    name = F.when((F.length("text") < 400) & F.contains(F.lower("text"), F.lit("licen")), "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    name = F.when(F.contains(F.lower(F.substring_index("text", "\n", -1)), F.lit("licen")), "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 100).cast("string"), name)
     found = scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
     return found.select(F.col("id").alias("doc_id"), "license", "cosine", "origin", "license_dir")

@@ -170,6 +170,33 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.assemble(warc.read_warc(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_versions_and_whole_texts_are_told_apart(spark):
+    bsd3 = """Copyright (c) 2020, Some Body. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+    texts = {
+        "a/LICENSE": (bsd3, "BSD-3-Clause"),
+        "b/COPYING": ("GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Everyone may copy.", "GPL-2.0"),
+        "c/x.py": ("# GNU General Public License version 2", "GPL-2.0"),
+        "d/x.py": ("CC BY 3.0", "CC-BY-3.0"),
+        "e/LICENSE": ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"),
+        "f/LICENSE": ("ISC License\n\nCopyright (c) X\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "ISC"),
+        "g/x.py": ("// SPDX-License-Identifier: MPL-2.0\n// All rights reserved.", "MPL-2.0"),
+        "h/x.py": ("// All Rights Reserved.", "All-rights-reserved"),
+        "i/x.py": ("GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in texts.items()], "path string, text string").withColumn("doc_id", F.lit(1))
+    got = {r.path: r.license for r in licenses.scan_licenses(df).collect()}
+    assert got == {p: x for p, (_, x) in texts.items()}
+
+
 def test_licenses(spark):
     files = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", "nothing"), (3, "a/b/COPYING", "Licensed under the Apache License, Version 2.0."), (4, "a/b/c/d/y.txt", "code"), (5, "z.txt", "code"), (6, "a/own.txt", "text\nThis work is licensed under the GNU General Public License, version 3.\nmore"),
