@@ -89,7 +89,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
-    return warc.page_facts(warc.assemble(warc.read_warc(spark, path, with_payload=False)))
+    return warc.page_facts(warc.assemble(warc.read_warc(spark, path)))
 
 
 def queries() -> dict:

@@ -3,7 +3,9 @@
 A page is written as three records, request, response (or revisit) and
 metadata, tied by WARC-Concurrent-To. Spark's own text writer commits the
 files, so they land in any store that Spark can write, and lost tasks leave
-nothing behind; reading parses whole files by Content-Length.
+nothing behind; for that a file is one gzip member, has Spark's name and no
+warcinfo record. Reading parses whole files by Content-Length, one pass over
+them, and takes archives of one member a record just as well.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewell.plans.lineage import cut, small
+from brinewell.plans.skew import join_heavy
 
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT = 1000
-#: Bytes of payload in one archive file, about.
-FILE_BYTES = 16 << 20
+#: Bytes of payload in one archive file, about, and at most (a greater payload has a file of its own).
+FILE_BYTES, MOST_BYTES = 16 << 20, 256 << 20
 #: Fixed values of the format.
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,14 +48,16 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Write three records for each row of ``pages`` to gzipped files in ``path``.
 
     Of rows with equal payloads of MIN_REVISIT bytes or more, those with the
-    largest id hold the payload and the others revisit it. Null html is an
-    empty payload; null ids and urls are kept as such in the metadata record.
+    largest id hold the payload and the others revisit it, and name it in
+    WARC-Refers-To. Null html is an empty payload; null ids and urls are kept as
+    such in the metadata record. Repeated rows are each written, under one
+    record id. An empty table writes no record. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
     shared = rows.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = cut(shared, "shared_payloads")
-    total = rows.agg(F.sum(F.col("bytes") + 1500).alias("b"), F.count("*").alias("n")).first()
+    total = rows.agg(F.sum(F.col("bytes") + 1500).alias("b"), F.count("*").alias("n"), F.max("bytes").alias("most")).first()
     rows = rows.join(small(shared), "digest", "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top.page_id"))
     rows = rows.withColumn("revisit", revisit).withColumn("rid", _record_id("response", F.col("page_id"), F.col("url"), F.col("digest")))
@@ -66,9 +71,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     again = _record([("WARC-Type", F.lit("revisit")), ("WARC-Record-ID", F.col("rid")), *stamp, digest, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", refers), ("Content-Type", F.lit("application/http; msgtype=response"))], http)
     ask = F.concat(F.lit("GET "), F.coalesce(clean, F.lit("/")), F.lit(f" HTTP/1.1{CRLF * 2}"))
     request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", F.replace(F.col("rid"), F.lit(":response:"), F.lit(":request:"))), *stamp, tied, ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
-    facts = F.to_json(F.struct("page_id", "url", F.col("bytes").alias("payload_bytes"), F.when(F.col("revisit"), F.col("top.page_id")).alias("refers_to_page")))
+    facts = F.to_json(F.struct("page_id", "url"))
     meta = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", F.replace(F.col("rid"), F.lit(":response:"), F.lit(":metadata:"))), *stamp, tied, ("Content-Type", F.lit("application/json"))], facts)
-    per_file = max(3, 3 * int(FILE_BYTES * max(total["n"], 1) / max(total["b"] or 0, 1)))
+    pages_a_file = min(FILE_BYTES * max(total["n"], 1) // max(total["b"] or 0, 1), MOST_BYTES // max(total["most"] or 0, 1))
+    per_file = 3 * max(1, pages_a_file)
     out = rows.select(F.explode(F.array(request, F.when(F.col("revisit"), again).otherwise(own), meta)).alias("value"))
     out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
@@ -117,28 +123,37 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row ``(capture_id, response, request, metadata)`` per response or revisit record.
 
-    Requests and metadata are joined through WARC-Concurrent-To; where one is
-    missing its struct is null, and of several with one id the first by record
-    id is taken, so repeated captures each keep their row. Records of other
-    kinds, and those tied to no response, make no row.
+    Requests and metadata meet their response through WARC-Concurrent-To, in one
+    pass over the records; where one is missing its struct is null, and of
+    several with one id any is taken. Responses that share a record id are
+    repeats of one capture and keep a row each. Records of other kinds, and
+    those tied to no response, make no row.
     """
+    main = F.col("kind").isin("response", "revisit")
     whole = F.struct("record_id", "kind", "refers_to", "target_uri", "date", "content_type", "digest", "payload_bytes", "payload_sha1", "payload")
-    main = records.where(F.col("kind").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), whole.alias("response"))
     side = F.struct("record_id", "target_uri", "date", "content_type", "payload_bytes", "info")
-    sides = records.where(F.col("kind").isin("request", "metadata") & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("capture_id"))
-    sides = sides.agg(F.min(F.when(F.col("kind") == "request", side)).alias("request"), F.min(F.when(F.col("kind") == "metadata", side)).alias("metadata"))
-    return main.join(sides, "capture_id", "left")
+    kinds = records.where(main | (F.col("kind").isin("request", "metadata") & F.col("concurrent_to").isNotNull()))
+    kinds = kinds.groupBy(F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id")).agg(
+        F.first(F.when(main, whole), True).alias("response"),
+        *(F.first(F.when(F.col("kind") == k, side), True).alias(k) for k in ("request", "metadata")),
+        F.count_if(main).alias("n"),
+    )
+    each = kinds.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.select("capture_id", "response", "request", "metadata")
 
 
 def page_facts(captures: DataFrame) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of captures written by :func:`write_warc`."""
-    facts = F.from_json("metadata.info", "page_id long, payload_bytes long, refers_to_page long")
-    read = captures.withColumn("facts", facts)
-    revisit = F.col("response.kind") == "revisit"
-    return read.select(
-        F.col("facts.page_id").alias("page_id"),
-        F.when(revisit, F.col("facts.payload_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.substring("response.digest", 6, 40)).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
-        F.col("response.kind").alias("record_type"),
-        F.when(revisit, F.col("facts.refers_to_page")).alias("refers_to"),
-    )
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of captures written by :func:`write_warc`.
+
+    What a revisit refers to, and the length of its payload, are those of the
+    capture that its WARC-Refers-To names.
+    """
+    page = F.from_json("metadata.info", "page_id long")["page_id"]
+    digest = F.when(F.col("response.kind") == "revisit", F.substring("response.digest", 6, 40)).otherwise(F.col("response.payload_sha1"))
+    facts = cut(captures.select("capture_id", page.alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("named"), F.col("response.payload_bytes").alias("payload_bytes"), digest.alias("payload_digest")), "captures")
+    own, again = facts.where("record_type = 'response'"), facts.where("record_type = 'revisit'")
+    wanted = again.groupBy("named").agg(F.count("*").alias("n"))
+    held = own.groupBy(F.col("capture_id").alias("named")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("own_bytes"))
+    referred = join_heavy(again.drop("payload_bytes"), cut(wanted.join(held, "named"), "referred"), ["named"], "n")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return own.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).union(referred.withColumnRenamed("own_bytes", "payload_bytes").select(*columns))
