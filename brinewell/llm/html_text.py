@@ -10,6 +10,7 @@ generates from common layouts, whose blocks' roles are known.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
@@ -43,6 +44,8 @@ _PIECE = re.compile(r"[A-Za-z]+")
 PATH_DIMS, WORD_DIMS = 128, 32
 DIMS = PATH_DIMS + WORD_DIMS + 8
 HIDDEN, STEPS, BATCH, RATE = 12, 160, 24, 0.02
+#: Blocks whose vectors are in memory at a time when pages are read.
+LANES = 20_000
 
 
 class Block:
@@ -177,11 +180,12 @@ def _slot(name: str, dims: int) -> tuple[int, float]:
 _CACHE: dict[str, tuple[int, float]] = {}
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """One vector for each block."""
-    x = np.zeros((len(page), DIMS), np.float32)
-    for i, b in enumerate(page):
-        row = x[i]
+def features(page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """One vector for each block of the page, or of a part of it."""
+    part = page[first:last]
+    x = np.zeros((len(part), DIMS), np.float32)
+    for i, b in enumerate(part, first):
+        row = x[i - first]
         for name in (*b.path, "leaf:" + (next((t for t in reversed(b.path) if t[0] != "="), ""))):
             k = _CACHE.get(name) or _CACHE.setdefault(name, _slot(name, PATH_DIMS)) if len(_CACHE) < 100_000 else _slot(name, PATH_DIMS)
             row[k[0]] += k[1]
@@ -192,7 +196,7 @@ def features(page: list[Block]) -> np.ndarray:
         hashed = row[PATH_DIMS : PATH_DIMS + WORD_DIMS]
         hashed /= 4.0 * max(1.0, float(np.sqrt((hashed * hashed).sum())))  # a word that fills its block is no stronger than others
         n = len(b.text)
-        row[-8:] = (np.log1p(n) / 8, b.linked / max(1, n), b.text.count(".") / max(1, len(words)), b.text[-1] in ".!?", sum(map(str.isdigit, b.text[:200])) / 200, i / len(page), 1.0 / (1 + i), min(1.0, len(page) / 50))
+        row[-8:] = (np.log1p(n) / 8, b.linked / max(1, n), b.text.count(".") / max(1, len(words)), b.text[-1] in ".!?", sum(map(str.isdigit, b.text)) / max(1, n), i / len(page), 1.0 / (1 + i), min(1.0, len(page) / 50))
     return x
 
 
@@ -211,12 +215,12 @@ class Labeller:
         for d in "01":
             self.p |= {"w" + d: small(DIMS, 4 * hidden), "u" + d: small(hidden, 4 * hidden), "b" + d: np.repeat(np.array([0, 1, 0, 0], np.float32), hidden)}
 
-    def _forward(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (T, B, H); padding is at the end of x (T, B, DIMS) and reads as zero vectors."""
+    def _forward(self, x: np.ndarray, d: str, keep: list | None = None, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """States (T, B, H) and the last ones; padding is at the end of x (T, B, DIMS) and reads as zero vectors."""
         steps, n, _ = x.shape
         k = self.hidden
         z = (x.reshape(-1, DIMS) @ self.p["w" + d] + self.p["b" + d]).reshape(steps, n, 4 * k)
-        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        h, c = state or (np.zeros((n, k), np.float32), np.zeros((n, k), np.float32))
         out = np.empty((steps, n, k), np.float32)
         for t in range(steps) if d == "0" else range(steps - 1, -1, -1):
             a = z[t] + h @ self.p["u" + d]
@@ -228,16 +232,16 @@ class Labeller:
             out[t] = h
             if keep is not None:
                 keep[-1] += (c,)
-        return out
+        return out, (h, c)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         """Log odds (T, B)."""
-        return self._forward(x, "0") @ self.p["v"][: self.hidden] + self._forward(x, "1") @ self.p["v"][self.hidden :] + self.p["c"]
+        return self._forward(x, "0")[0] @ self.p["v"][: self.hidden] + self._forward(x, "1")[0] @ self.p["v"][self.hidden :] + self.p["c"]
 
     def gradients(self, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         k = self.hidden
         kept: dict[str, list] = {"0": [], "1": []}
-        states = [self._forward(x, d, kept[d]) for d in "01"]
+        states = [self._forward(x, d, kept[d])[0] for d in "01"]
         z = states[0] @ self.p["v"][:k] + states[1] @ self.p["v"][k:] + self.p["c"]
         prob = _sigmoid(z)
         total = max(1.0, float(used.sum()))
@@ -379,8 +383,9 @@ def made_pages(count: int, seed: int = 0) -> Iterator[tuple[str, dict[str, bool]
         yield whole if rng.random() < 0.9 else whole[: int(len(whole) * rng.uniform(0.5, 1))], role
 
 
+@functools.lru_cache(maxsize=4)
 def trained(pages: int = 500, seed: int = 0) -> Labeller:
-    """A labeller fitted to generated pages; the same for the same arguments."""
+    """A labeller fitted to generated pages; the same for the same arguments, and fitted once."""
     rows = []
     for page, role in made_pages(pages, seed):
         own = blocks(page)
@@ -391,6 +396,21 @@ def trained(pages: int = 500, seed: int = 0) -> Labeller:
     return net
 
 
+def long_odds(net: Labeller, page: list[Block]) -> np.ndarray:
+    """Log odds of a page's blocks with the vectors of LANES blocks in memory at a time; states are carried from part to part."""
+    out = np.full(len(page), net.p["c"][0], np.float32)
+    k = net.hidden
+    for d, v in (("0", net.p["v"][:k]), ("1", net.p["v"][k:])):
+        state = None
+        starts = range(0, len(page), LANES)
+        for at in starts if d == "0" else reversed(starts):
+            part = features(page, at, at + LANES)[:, None]
+            states = net._forward(part, d, state=state)
+            state = states[1]
+            out[at : at + LANES] += (states[0] @ v)[:, 0]
+    return out
+
+
 def main_texts(net: Labeller, pages: list[str]) -> list[str]:
     """The main text of each page: its main blocks, joined by line feeds."""
     read = [blocks(p) for p in pages]
@@ -399,11 +419,10 @@ def main_texts(net: Labeller, pages: list[str]) -> list[str]:
     at = 0
     while at < len(order):
         group: list[int] = []
-        while at < len(order) and (not group or (len(group) + 1) * len(read[order[at]]) <= 20_000):
+        while at < len(order) and (not group or (len(group) + 1) * len(read[order[at]]) <= LANES):
             group.append(order[at])
             at += 1
-        x, _, _ = _lanes([(features(read[i]), 0) for i in group])
-        odds = net.odds(x)
+        odds = net.odds(_lanes([(features(read[i]), 0) for i in group])[0]) if len(read[group[0]]) <= LANES else long_odds(net, read[group[0]])[:, None]
         for k, i in enumerate(group):
             out[i] = "\n".join(b.text for b, z in zip(read[i], odds[:, k], strict=False) if z > 0)
     return out

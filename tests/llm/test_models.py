@@ -143,6 +143,14 @@ def test_no_element_cuts_the_rest_of_a_page(page, want):
     assert [b.text for b in H.blocks(page)] == want
 
 
+def test_long_pages_are_read_in_parts(monkeypatch):
+    net = H.Labeller(seed=3)
+    page = H.blocks("<article>" + "".join(f"<p class=c{k % 7}>word {k} and more.</p>" for k in range(500)) + "</article>")
+    whole = net.odds(H._lanes([(H.features(page), 0)])[0])[:, 0]
+    monkeypatch.setattr(H, "LANES", 64)
+    assert len(page) == 500 and np.abs(H.long_odds(net, page) - whole).max() < 1e-4
+
+
 def test_parser_is_linear_on_hostile_pages():
     for page in ("<" * 100_000, "<a " + "'\"" * 50_000, "<div>" * 20_000 + "x", "&" * 100_000, "<!--" * 50_000, "<p class=\"" + "x" * 100_000):
         H.blocks(page)

@@ -65,6 +65,22 @@ def test_certified_cutoffs_reject_junk(spark):
     assert not any(k for i, (_, k) in got.items() if 1600 <= i < 1640) and all(got[i][1] for i in range(1600))
 
 
+def test_certified_cutoffs_are_those_of_the_sql(spark):
+    """The query's SQL on labels that certify cutoffs, which the small tables' do not."""
+    import duckdb
+
+    from brinewell.llm.oracles import ORACLES
+
+    docs, labels = make(spark, 1600, 400)
+    got = Q.quality_rules(docs, labels).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("labels", labels.toPandas())
+    want = con.execute(ORACLES["op1_quality_rules"]).fetchall()
+    mine = [(r.id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got]
+    assert sorted(mine) == sorted(want) and any(r.failed_rules and not r.base_failed for r in got)
+
+
 def test_few_labels_or_false_rejections_certify_nothing(spark):
     assert all(k for i, (b, k) in verdicts(*make(spark, 100, 40)).items() if not b)
     assert all(k for i, (b, k) in verdicts(*make(spark, 1600, 40, poor_good=30)).items() if not b)
