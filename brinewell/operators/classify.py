@@ -138,24 +138,46 @@ def classify_batch(payload: str, ids: Sequence[str], classifier: Classifier, max
     raise RuntimeError(f"no valid answer in {attempts} attempts") from last
 
 
-_RESULT = "batch_id long, pos int, post_id string, relevance bigint, value bigint, kind string, skip boolean, skip_reason string, attempts int, " + ", ".join(f"{u} bigint" for u in USAGE)
+_RESULT = "batch_id long, pos int, post_id string, relevance bigint, value bigint, kind string, skip boolean, skip_reason string, attempts int, " + ", ".join(f"{u} bigint" for u in USAGE) + ", error string"
 
 
-def classify(batched: DataFrame, classifier: Classifier, max_tokens: int = DEFAULT_TOKENS, attempts: int = 2, config: ScoringConfig = ScoringConfig()) -> DataFrame:
-    """One row per post in response order (``batch_id``, ``pos``), with the batch's attempts and token counts on its first row.
+def try_classify(batched: DataFrame, classifier: Classifier, max_tokens: int = DEFAULT_TOKENS, attempts: int = 2, config: ScoringConfig = ScoringConfig()) -> tuple[DataFrame, DataFrame]:
+    """Answers, as of :func:`classify`, and failures ``(batch_id, error)``.
 
-    The result is written once, so that an executor's loss repeats no call that was committed.
+    A batch without a valid answer is a row of the second and costs no other
+    batch its answer. The result is written once, so that an executor's loss
+    repeats no call that was committed. Each batch is a partition's own, so
+    calls run side by side.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for batch, ids, payload in zip(part["batch_id"], part["post_ids"], part["payload"], strict=True):
-                answers, tokens, tries = classify_batch(payload, list(ids), classifier, max_tokens, attempts, config)
-                rows += [(batch, k, a["post_id"], a["relevance"], a["value"], a["kind"], a["skip"], a["skip_reason"], tries, *(tokens if k == 0 else [0] * 4)) for k, a in enumerate(answers)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _RESULT.split(", ")])
+                try:
+                    answers, tokens, tries = classify_batch(payload, list(ids), classifier, max_tokens, attempts, config)
+                except RuntimeError as e:
+                    rows.append((batch, None, None, None, None, None, None, None, attempts, 0, 0, 0, 0, f"{e}: {e.__cause__}"))
+                    continue
+                rows += [(batch, k, a["post_id"], a["relevance"], a["value"], a["kind"], a["skip"], a["skip_reason"], tries, *(tokens if k == 0 else [0] * 4), None) for k, a in enumerate(answers)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _RESULT.split(", ")]).astype({"pos": "Int32", "relevance": "Int64", "value": "Int64", "skip": "boolean"})
+
+    told = cut(payloads(batched).repartition("batch_id").mapInPandas(run, _RESULT), "classified")
+    return told.where("error is null").drop("error"), told.where("error is not null").select("batch_id", "error")
+
 
-    return cut(payloads(batched).mapInPandas(run, _RESULT), "classified")
+def raise_failures(failures: DataFrame) -> None:
+    """Raise with the first failures, if there are any."""
+    bad = failures.orderBy("batch_id").limit(5).collect()
+    if bad:
+        raise RuntimeError("; ".join(f"batch {r.batch_id}: {r.error}" for r in bad))
+
+
+def classify(batched: DataFrame, classifier: Classifier, max_tokens: int = DEFAULT_TOKENS, attempts: int = 2, config: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """One row per post in response order (``batch_id``, ``pos``), with the batch's attempts and token counts on its first row; raises if a batch fails."""
+    answers, failures = try_classify(batched, classifier, max_tokens, attempts, config)
+    raise_failures(failures)
+    return answers
 
 
 def offline_classifier(payload: str, max_tokens: int) -> tuple[dict, dict | None]:

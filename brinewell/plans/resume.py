@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,14 +69,24 @@ class ResumableRun:
         done = self.done()
         return inputs if done is None else inputs.join(done.select("post_id"), "post_id", "left_anti")
 
+    def append(self, rows: DataFrame) -> None:
+        """Add results; a failed write leaves nothing."""
+        rows.write.mode("append").parquet(f"{self.path}/results")
+
     def step(self, inputs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> None:
-        """Do the work on what is pending and append it; a failed step leaves nothing."""
-        work(self.pending(inputs)).write.mode("append").parquet(f"{self.path}/results")
+        """Do the work on what is pending and append it."""
+        self.append(work(self.pending(inputs)))
 
-    def status(self) -> dict:
+    def status(self, totals: Sequence[str] = ()) -> dict:
+        """Posts done and asked for, and of results by batch (``pos`` is a post's place in it) the batches and sums of ``totals``."""
         done = self.done()
-        n = 0 if done is None else done.count()
-        return {"posts_completed": n, "total": self.manifest["total"], "complete": n == self.manifest["total"]}
+        out = {"posts_completed": 0 if done is None else done.count(), "total": self.manifest["total"]}
+        out["complete"] = out["posts_completed"] == out["total"]
+        if totals:
+            sums = [F.count_if(F.col("pos") == 0).alias("batches_completed"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals)]
+            row = {} if done is None else done.agg(*sums).first().asDict()
+            out |= {"batches_completed": row.get("batches_completed", 0), "usage": {c: row.get(c, 0) for c in totals}}
+        return out
 
 
 def table_fingerprint(df: DataFrame) -> str:

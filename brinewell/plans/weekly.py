@@ -19,6 +19,7 @@ from brinewell.functions.times import ZONE, week_window
 from brinewell.operators import classify, dedup, shortlist
 from brinewell.operators.ranking import batches, run_limit
 from brinewell.operators.screening import ScreeningConfig, screen
+from brinewell.plans.lineage import cut
 from brinewell.plans.resume import ResumableRun, check_run, expect_count, table_fingerprint
 from brinewell.sources.http import Transport, scan_window
 from brinewell.sources.normalize import normalize
@@ -64,10 +65,18 @@ def fetch_week(spark: SparkSession, root: str, transport: Transport, communities
 
 def classify_week(
     spark: SparkSession, root: str, classifier: classify.Classifier, week: date | str, *, full: bool = False, max_posts: int | None = None, max_batches: int | None = None, status_only: bool = False,
-    screening: ScreeningConfig = ScreeningConfig(), scoring: classify.ScoringConfig = classify.ScoringConfig(), notes: DataFrame | None = None, expected_survivors: int | None = None,
+    screening: ScreeningConfig = ScreeningConfig(), scoring: classify.ScoringConfig = classify.ScoringConfig(), notes: DataFrame | None = None, expected_survivors: int | None = None, checkpoint_batches: int = 8,
 ) -> dict:
-    """Screen, classify what is pending within the bounds, score and append; a later call goes on from there."""
+    """Screen, classify what is pending within the bounds, score and append; a later call goes on from there.
+
+    ``checkpoint_batches`` batches are called side by side and appended before
+    the next are called, so a lost driver loses the answers of so many at most
+    (1: a checkpoint after every batch). A failed batch ends the run once the
+    answers of those beside it are kept.
+    """
     check_run(full, max_posts, max_batches, status_only)
+    if checkpoint_batches <= 0:
+        raise ValueError("a checkpoint has at least one batch")
     monday = _monday(week)
     posts = spark.read.parquet(_place(root, "posts", monday))
     screened = screen(posts, screening)
@@ -79,13 +88,17 @@ def classify_week(
     if not status_only:
         pending = run.pending(inputs)
         order = [fold(F.col("subreddit")), F.col("post_id")]
-        numbered = batches(pending, scoring.batch_size, order)
+        numbered = cut(batches(pending, scoring.batch_size, order), "pending")
         limit, _ = run_limit(pending.count(), scoring.batch_size, max_posts, max_batches)
         if limit:
             names = posts.select(F.col("id").alias("post_id"), "subreddit", "title").dropDuplicates(["post_id"])
-            answers = classify.classify(numbered.where(F.col("ord") < limit), classifier, config=scoring)
-            run.step(classify.score_classified(answers, screened, scoring).join(names, "post_id"), lambda d: d)
-    return run.status()
+            step = scoring.batch_size * checkpoint_batches
+            for first in range(0, limit, step):
+                window = numbered.where((F.col("ord") >= first) & (F.col("ord") < min(limit, first + step)))
+                answers, failures = classify.try_classify(window, classifier, config=scoring)
+                run.append(classify.score_classified(answers, screened, scoring).join(names, "post_id"))
+                classify.raise_failures(failures)
+    return run.status(classify.USAGE)
 
 
 def hydrate_week(spark: SparkSession, root: str, posts: DataFrame, week: date | str, expected: int | None = None) -> dict:

@@ -19,6 +19,20 @@ def transport(path, params):
     return {"data": [r for r in rows if params["after"] <= r["created_utc"] < params["before"]][: params["limit"]]}
 
 
+def fails_at(post, log):
+    """A classifier that is down for one post's batch and writes down the posts that it answers."""
+
+    def classifier(payload, tokens):
+        if f'"{post}"' in payload:
+            raise OSError("down")
+        answer = classify.offline_classifier(payload, tokens)
+        with open(log, "a") as f:
+            f.write("".join(r["post_id"] + "\n" for r in answer[0]["classifications"]))
+        return answer
+
+    return classifier
+
+
 def test_a_week_from_fetch_to_groups(spark, tmp_path):
     root = str(tmp_path)
     record = weekly.fetch_week(spark, root, transport, ["Beta", "Alpha", "Broken"], MONDAY)
@@ -28,10 +42,16 @@ def test_a_week_from_fetch_to_groups(spark, tmp_path):
         weekly.classify_week(spark, root, classify.offline_classifier, MONDAY)
     with pytest.raises(ValueError):
         weekly.classify_week(spark, root, classify.offline_classifier, MONDAY, full=True, expected_survivors=81)
-    assert weekly.classify_week(spark, root, classify.offline_classifier, MONDAY, max_batches=1) == {"posts_completed": 25, "total": 80, "complete": False}
+    assert weekly.classify_week(spark, root, classify.offline_classifier, MONDAY, max_batches=1).items() >= {"posts_completed": 25, "total": 80, "complete": False, "batches_completed": 1}.items()
     assert weekly.classify_week(spark, root, classify.offline_classifier, MONDAY, max_posts=10)["posts_completed"] == 35
     assert weekly.classify_week(spark, root, classify.offline_classifier, MONDAY, status_only=True)["posts_completed"] == 35
-    assert weekly.classify_week(spark, root, classify.offline_classifier, MONDAY, full=True)["complete"]
+    with pytest.raises(RuntimeError, match="batch 1"):
+        weekly.classify_week(spark, root, fails_at("Beta9", f"{root}/calls"), MONDAY, full=True, checkpoint_batches=1)
+    kept = weekly.classify_week(spark, root, classify.offline_classifier, MONDAY, status_only=True)
+    assert kept["posts_completed"] == 60 and kept["batches_completed"] == 3 and kept["usage"]["output_tokens"] == 60 * 30
+    assert weekly.classify_week(spark, root, fails_at("nothing", f"{root}/calls"), MONDAY, full=True)["complete"]
+    asked = open(f"{root}/calls").read().split()
+    assert len(asked) == len(set(asked)) == 45  # no post that was answered is asked again
     assert weekly.classify_week(spark, root, classify.offline_classifier, MONDAY, full=True)["complete"]
     scored = spark.read.parquet(f"{root}/classified/week_start={MONDAY}/results")
     assert scored.count() == scored.select("post_id").distinct().count() == 80
