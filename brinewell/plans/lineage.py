@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +65,16 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str = "step") -> DataFrame:
+    """What ``make`` returns, cut; the tables that were cut to make it are deleted."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+        schema = df.schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`cut` that nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

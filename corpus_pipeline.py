@@ -15,7 +15,7 @@ from brinewell.llm.decontaminate import SLOP, benchmark_matches
 from brinewell.llm.language_id import UNDETERMINED, fit, identify
 from brinewell.llm.near_dedup import near_duplicates, row_keys
 from brinewell.llm.pii import mask, personal_data
-from brinewell.plans.lineage import cut, new_path, scratch, small
+from brinewell.plans.lineage import cut_alone, new_path, scratch, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: How far from chance (one over the number of languages) to certainty a document's pooled probability must be.
@@ -35,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return read.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     chance = 1 / len(model.languages)
-    return read.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= chance + MIN_LIFT * (1 - chance))).select(*COLUMNS)
+    return read.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= chance + MIN_LIFT * (1 - chance) - 1e-6)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``documents`` are not read.
     """
     keyed = docs.select(*COLUMNS, *row_keys(F.col("doc_id"), F.col("text")))
-    stay = near_duplicates(docs, by_id=False).where("first").select("key_a", "key_b")
+    stay = cut_alone(spark, lambda: near_duplicates(docs, by_id=False).where("first").select("key_a", "key_b"), "stay")
     return keyed.join(stay, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select(*COLUMNS)
 
 
@@ -61,8 +61,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     are not read.
     """
     hashes = row_keys(F.lit(None), F.col("text"))[1].alias("key")
-    found = benchmark_matches(docs.select(hashes, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key", slop=SLOP)
-    gone = cut(found.where((F.size("hits") > 0) | (F.size("near_items") > 0)).select(F.col("id").alias("key")).distinct(), "contaminated")
+
+    def matched() -> DataFrame:
+        found = benchmark_matches(docs.select(hashes, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key", slop=SLOP)
+        return found.where((F.size("hits") > 0) | (F.size("near_items") > 0)).select(F.col("id").alias("key")).distinct()
+
+    gone = cut_alone(spark, matched, "contaminated")
     return docs.select(*COLUMNS, hashes).join(small(gone), "key", "left_anti").select(*COLUMNS)
 
 
@@ -74,8 +78,13 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents; columns beside those of ``documents`` are not read.
     """
     hashes = row_keys(F.lit(None), F.col("text"))[1].alias("key")
-    found = personal_data(docs.select(hashes, "text"), "key").where(F.size("spans") > 0).select(F.col("id").alias("key"), F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("spans"))
-    spans = cut(found.groupBy("key").agg(F.min("spans").alias("spans")), "spans")
+
+    def found() -> DataFrame:
+        some = personal_data(docs.select(hashes, "text"), "key").where(F.size("spans") > 0)
+        places = some.select(F.col("id").alias("key"), F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("spans"))
+        return places.groupBy("key").agg(F.min("spans").alias("spans"))
+
+    spans = cut_alone(spark, found, "spans")
     masked = docs.select(*COLUMNS, hashes).join(small(spans), "key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("spans"))))
     return masked.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
