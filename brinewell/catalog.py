@@ -127,10 +127,10 @@ def shortlisted_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def classification_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of documents as answers, documents as questions."""
+    """Labels of documents as answers, ids a hundred further on as questions, so that some are missing and some unexpected."""
     reason = F.when(F.col("toxic") == 1, F.when(F.col("doc_id") % 2 == 0, "toxic")).otherwise(F.when(F.col("doc_id") % 7 == 0, "why"))
     answers = _read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("post_id"), (F.col("toxic") == 1).alias("skip"), reason.alias("skip_reason"))
-    asked = _read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("post_id"))
+    asked = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 100).cast("string").alias("post_id"))
     return classify.violations(answers, asked)
 
 
@@ -142,8 +142,10 @@ def pending_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hydrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The shortlist, and as fetched posts those of documents that have a label; the others are missing."""
     listed = shortlist.shortlist(labelled_posts(spark, sf_dir)).select("post_id", "preliminary_score")
-    found = posts(spark, sf_dir).where("ord % 5 <> 0").select("id", "score", "external_url")
+    labelled = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord")).distinct()
+    found = posts(spark, sf_dir).join(labelled, "ord", "left_semi").select("id", "score", "external_url")
     return listed, found
 
 
@@ -223,7 +225,7 @@ def week_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def iso_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").select("event_id", iso_utc(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("text"))
+    return _read(spark, sf_dir, "events").select("event_id", iso_utc(F.col("ts").cast("timestamp")).alias("text"))
 
 
 @_query
@@ -249,7 +251,8 @@ def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents asked for by ``benchmark`` item ids, some twice and some unknown, in request order."""
     from brinewell.sources.http import lookup
 
-    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.concat(F.lit("t3_d"), (F.col("item_id") * 37 % 1500).cast("string")).alias("id"))
+    most = _read(spark, sf_dir, "documents").count() * 3 // 2
+    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.concat(F.lit("t3_d"), (F.col("item_id") * 7919 % most).cast("string")).alias("id"))
     return lookup(posts(spark, sf_dir).select("id", "score"), asked).select("pos", "id", "score")
 
 
@@ -334,13 +337,13 @@ ORACLES |= {
     "preliminary_score": f"{_WITH}{_SCORED} SELECT post_id, engagement_score, relevance, value, skip, preliminary_score FROM scored",
     "shortlisted_posts": f"{_WITH}{_SCORED} SELECT post_id, subreddit, preliminary_score FROM short",
     "classification_violations": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS post_id, toxic = 1 AS skip, CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'toxic' END WHEN doc_id % 7 = 0 THEN 'why' END AS r FROM labels),
-e AS (SELECT CAST(doc_id AS VARCHAR) AS post_id FROM documents WHERE doc_id % 2 = 0)
+e AS (SELECT CAST(doc_id + 100 AS VARCHAR) AS post_id FROM documents)
 SELECT post_id, 'duplicate' AS problem FROM a GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT post_id, 'missing' FROM e WHERE post_id NOT IN (SELECT post_id FROM a)
 UNION ALL SELECT DISTINCT post_id, 'unexpected' FROM a WHERE post_id NOT IN (SELECT post_id FROM e) UNION ALL SELECT post_id, 'no_reason' FROM a WHERE skip AND r IS NULL UNION ALL SELECT post_id, 'needless_reason' FROM a WHERE NOT skip AND r IS NOT NULL""",
     "pending_anti_join": f"{_WITH}{_POSTS} SELECT id AS post_id, subreddit FROM kept WHERE keep AND ord NOT IN (SELECT doc_id FROM labels)",
-    "hydrate_left_join": f"{_WITH}{_SCORED} SELECT post_id, preliminary_score, ord % 5 = 0 AS missing, CASE WHEN ord % 5 <> 0 THEN score END AS score FROM short",
-    "missing_ids": f"{_WITH}{_SCORED} SELECT post_id FROM short WHERE ord % 5 = 0",
-    "unexpected_ids": f"{_WITH}{_SCORED} SELECT id AS post_id FROM posts WHERE ord % 5 <> 0 AND id NOT IN (SELECT post_id FROM short)",
+    "hydrate_left_join": f"{_WITH}{_SCORED} SELECT post_id, preliminary_score, NOT ord IN (SELECT doc_id FROM labels) AS missing, CASE WHEN ord IN (SELECT doc_id FROM labels) THEN score END AS score FROM short",
+    "missing_ids": f"{_WITH}{_SCORED} SELECT post_id FROM short WHERE NOT ord IN (SELECT doc_id FROM labels)",
+    "unexpected_ids": f"{_WITH}{_SCORED} SELECT id AS post_id FROM posts WHERE ord IN (SELECT doc_id FROM labels) AND id NOT IN (SELECT post_id FROM short)",
     "url_normalize": f"SELECT page_id, {_canonical('url')} AS canonical FROM pages",
     "dedup_components": f"{_WITH}{_GROUPS} SELECT post_id, g.first_id, size FROM g JOIN groups USING (first_id)",
     "dedup_groups": f"""{_WITH}{_GROUPS} SELECT group_id, ids[1] AS representative_post_id, array_to_string(ids, ',') AS members, size, size > 1 AS is_duplicate_group,
@@ -352,11 +355,11 @@ coalesce(urls, '') AS urls, links, coalesce(parents, '') AS parents FROM groups
     "removed_states": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 = 0) THEN 'deleted' WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'removed' ELSE 'none' END AS state FROM documents",
     "week_bucket": """WITH w AS (SELECT date_trunc('week', (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Stockholm') AS m FROM events)
 SELECT ((CAST(m AS TIMESTAMP) AT TIME ZONE 'Europe/Stockholm') AT TIME ZONE 'UTC') AS week_start, CAST(date_diff('hour', (CAST(m AS TIMESTAMP) AT TIME ZONE 'Europe/Stockholm') AT TIME ZONE 'UTC', ((CAST(m AS TIMESTAMP) + INTERVAL 7 DAY) AT TIME ZONE 'Europe/Stockholm') AT TIME ZONE 'UTC') AS BIGINT) AS hours, count(*) AS n FROM w GROUP BY ALL""",
-    "iso_texts": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS text FROM events",
+    "iso_texts": "SELECT event_id, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), '\\.0+Z$', 'Z') AS text FROM events",
     "community_counts": "SELECT source, count(*) AS n FROM documents GROUP BY source",
     "ordered_posts": f"{_WITH}{_POSTS} SELECT row_number() OVER (ORDER BY lower(subreddit), score, id) - 1 AS ord, id FROM posts",
     "upsert_last_wins": "SELECT user_id, min(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
-    "id_lookup": f"{_WITH}{_POSTS} SELECT item_id AS pos, id, score FROM benchmark JOIN posts ON id = 'd' || (item_id * 37 % 1500)",
+    "id_lookup": f"{_WITH}{_POSTS} SELECT item_id AS pos, id, score FROM benchmark JOIN posts ON id = 'd' || (item_id * 7919 % (SELECT count(*) * 3 // 2 FROM documents))",
     "normalized_posts": """WITH r AS (SELECT *, page_id AS p, 'p' || page_id AS id, CASE WHEN page_id % 9 <> 0 THEN 'Pages' ELSE '' END AS subreddit, page_id % 8 = 0 AS is_self FROM pages)
 SELECT id, subreddit, CASE WHEN p % 4 <> 0 THEN 'a title' ELSE '' END AS title, CASE WHEN p % 6 = 0 THEN '[removed]' ELSE '' END AS body,
 CASE WHEN p % 3 = 0 THEN 'https://www.reddit.com/r/x/' || p WHEN p % 3 = 1 THEN 'https://x.org/y' ELSE 'https://www.reddit.com/r/' || subreddit || '/comments/' || id || '/' END AS permalink, 'test' AS provider,
