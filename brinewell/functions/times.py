@@ -14,11 +14,12 @@ ZONE = "Europe/Stockholm"
 
 
 def parse_instant(c: Column) -> Column:
-    """A timestamp from epoch seconds, as number or text, or ISO-8601; a text without zone is UTC; anything else raises."""
+    """A timestamp from epoch seconds, as number or text, or ISO-8601 with a whole date; a text without zone is UTC; anything else raises."""
     s = strip(c.cast("string"))
     number = s.try_cast("double")
     epoch = F.when(number.isNotNull(), F.timestamp_micros(F.bround(number * 1000000).cast("long")))
-    parsed = F.coalesce(epoch, F.try_to_timestamp(F.regexp_replace(s, "Z", "+00:00")))
+    whole = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ].*)?$"), s)
+    parsed = F.coalesce(epoch, F.try_to_timestamp(F.regexp_replace(whole, "Z", "+00:00")))
     return F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("unsupported instant: "), F.coalesce(s, F.lit("null")))).cast("timestamp")).otherwise(parsed)
 
 

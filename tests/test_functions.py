@@ -54,6 +54,9 @@ def test_parse_instant(spark):
     assert got == ["2023-11-14T22:13:20Z", "2023-11-14T22:13:20.500000Z", "2026-01-02T03:04:05Z", "2026-01-02T01:04:05Z"]
     with pytest.raises(Exception, match="unsupported instant"):
         spark.createDataFrame([("soon",)], "s string").select(times.parse_instant(F.col("s"))).collect()
+    for part in ("2026-01", "12:30", "2026-1-2"):
+        with pytest.raises(Exception, match="unsupported instant"):
+            spark.createDataFrame([(part,)], "s string").select(times.parse_instant(F.col("s"))).collect()
 
 
 @pytest.mark.parametrize("monday, hours", [("2026-03-23", 167), ("2026-10-19", 169), ("2026-06-01", 168)])
