@@ -75,3 +75,21 @@ def test_join_heavy(spark):
     got = join_heavy(rows, side, ["k"], "n").collect()
     assert sorted(r.v for r in got) == sorted(r.v for r in rows.collect())
     assert all(r.twice == (None if r.k in (None, 77777) else r.k * 2) for r in got)
+
+
+def test_large_group(spark):
+    """One group holds most items, by a popular URL and a chain of parents; equal to a union-find over all shared keys."""
+    rng = random.Random(3)
+    rows = [item(f"i{k:04d}", "http://x.org/hot" if k % 3 else f"http://y.org/{rng.randrange(900)}", f"i{k + 1:04d}" if k % 50 < 25 else None, score=rng.random()) for k in range(1500)]
+    keys: dict = {}
+    pairs = []
+    for k, ((i, *_), (_, url, parent)) in enumerate(rows):
+        for key in {("p", i), ("p", parent or i), ("u", url)}:
+            pairs.append((k, keys.setdefault(key, k)))
+    roots = union(len(rows), pairs)
+    want = {tuple(sorted(rows[k][0][0] for k in range(len(rows)) if roots[k] == r)) for r in set(roots)}
+    got = D.dedup_groups(spark.createDataFrame(rows, ITEM)).collect()
+    assert {tuple(sorted(g.member_post_ids)) for g in got} == want and len(got) == len(want)
+    hot = max(got, key=lambda g: g.size)
+    assert dict(map(tuple, hot.shared_external_urls))["x.org/hot"] == [f"i{k:04d}" for k in range(1500) if k % 3]
+    assert {"same_external_url", "crosspost_parent_in_group"} <= set(hot.duplicate_signals)
