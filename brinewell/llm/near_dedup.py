@@ -334,9 +334,13 @@ def _open_bands(rows: DataFrame, found: DataFrame, stars: DataFrame, reps: DataF
 
 
 def _check(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` that pass the estimate and then the full sets."""
+    """Pairs ``(a, b)`` that pass the estimate and then the full sets.
+
+    The pairs between are stored: over broadcast joins both functions would run
+    in one task, with a Python worker each, and double an executor's workers.
+    """
     side = reps.select("node", "n_shingles", "classes", "sketches")
     drawn = pairs.join(side.toDF("a", "n_a", "classes_a", "sketches_a"), "a").join(side.toDF("b", "n_b", "classes_b", "sketches_b"), "b")
-    likely = drawn.mapInArrow(_likely(percent / 100), "a long, b long")
+    likely = cut(drawn.mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
     full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return full.mapInArrow(_confirmed(percent), "a long, b long")
